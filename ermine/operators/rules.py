@@ -14,6 +14,7 @@ head chain from the few candidate tokens upward, one join per level.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -154,32 +155,38 @@ def _role_cond(role: Role):
     return cond
 
 
-def descendant_pairs(tokens: DataFrame, cand: DataFrame, max_depth: int = 1 << 16) -> DataFrame:
+def descendant_pairs(tokens: DataFrame, cand: DataFrame, max_depth: int = 1 << 16,
+                     levels_per_pass: int = 4) -> DataFrame:
     """(doc_id, sent_id, desc, anc) for every candidate token and each of its ancestors.
 
-    Bounded loop of head joins, one per tree level, from the candidates upward; it
-    stops when no candidate has a further ancestor (heads form a forest).
+    Bounded loop of head joins from the candidates upward; it stops when no
+    candidate has a further ancestor (heads form a forest).  Edges are first
+    restricted to the sentences holding a candidate, and each pass climbs
+    ``levels_per_pass`` levels before one reliable checkpoint (flat plans,
+    survives executor loss, few jobs).
     """
-    edges = tokens.filter(F.col("head").isNotNull()).select(*KEY, F.col("tok_id").alias("cur"),
-                                                             F.col("head").alias("anc"))
+    sents = cand.select(*KEY).distinct()
+    edges = (tokens.filter(F.col("head").isNotNull()).join(sents, KEY, "left_semi")
+             .select(*KEY, F.col("tok_id").alias("cur"), F.col("head").alias("anc")))
+    edges = cut_lineage(edges)
     frontier = cand.select(*KEY, F.col("tok_id").alias("desc"), F.col("tok_id").alias("cur"))
-    levels = []
-    for _ in range(max_depth):
-        # reliable checkpoint per level: keeps each level's plan flat (a cached
-        # step would embed the previous plan) and survives executor loss
-        step = cut_lineage(frontier.join(edges, [*KEY, "cur"]).select(*KEY, "desc", "anc"))
-        if step.isEmpty():
+    passes = []
+    depth = 0
+    while True:
+        f, lv = frontier, []
+        for k in range(levels_per_pass):
+            f = f.join(edges, [*KEY, "cur"]).select(*KEY, "desc", "anc").withColumn("_lvl", F.lit(k))
+            lv.append(f)
+            f = f.drop("_lvl").withColumnRenamed("anc", "cur")
+        batch = cut_lineage(reduce(DataFrame.unionByName, lv))
+        passes.append(batch.select(*KEY, "desc", "anc"))
+        frontier = batch.filter(F.col("_lvl") == levels_per_pass - 1).select(*KEY, "desc", F.col("anc").alias("cur"))
+        depth += levels_per_pass
+        if frontier.isEmpty():
             break
-        levels.append(step)
-        frontier = step.withColumnRenamed("anc", "cur")
-    else:
-        raise RuntimeError("head chain deeper than max_depth: the token table has a cycle")
-    if not levels:
-        return cand.sparkSession.createDataFrame([], "doc_id long, sent_id int, desc int, anc int")
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+        if depth > max_depth:
+            raise RuntimeError("head chain deeper than max_depth: the token table has a cycle")
+    return reduce(DataFrame.unionByName, passes)
 
 
 def match(tokens: DataFrame, rule: Rule) -> DataFrame:

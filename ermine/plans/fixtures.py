@@ -13,7 +13,12 @@ from ..functions.text import capitalize, lower_first
 from ..operators import annotate as A
 from ..operators import assemble as M
 from ..operators import extract as X
+from ..session import cut_lineage
 
+# Stage outputs read by several queries are written once with a reliable
+# checkpoint into ``spark.checkpoint.dir``: the plan downstream starts from a
+# flat scan (the annotation and 17 rule plans are not re-analysed per action),
+# the (doc_id, sent_id) partitioning is kept, and lost executors recompute nothing.
 _CACHE: dict = {}
 
 
@@ -29,14 +34,14 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotated tokens of the English documents (test lexicon), cached once per session and folder."""
     key = ("tokens", id(spark), sf_dir)
     if key not in _CACHE:
-        _CACHE[key] = A.annotate(english_corpus(spark, sf_dir), lexicon_df(spark, True)).cache()
+        _CACHE[key] = cut_lineage(A.annotate(english_corpus(spark, sf_dir), lexicon_df(spark, True)))
     return _CACHE[key]
 
 
 def doc_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ("names", id(spark), sf_dir)
     if key not in _CACHE:
-        _CACHE[key] = A.token_names(doc_tokens(spark, sf_dir)).cache()
+        _CACHE[key] = cut_lineage(A.token_names(doc_tokens(spark, sf_dir)))
     return _CACHE[key]
 
 
@@ -47,11 +52,19 @@ def sentence_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.all_hits(doc_tokens(spark, sf_dir), names=doc_names(spark, sf_dir))
+    """All rule results; persisted because selection, coverage and assembly all read them."""
+    key = ("hits", id(spark), sf_dir)
+    if key not in _CACHE:
+        _CACHE[key] = cut_lineage(X.all_hits(doc_tokens(spark, sf_dir), names=doc_names(spark, sf_dir)))
+    return _CACHE[key]
 
 
 def doc_best(spark: SparkSession, sf_dir: str, compat: bool = False) -> DataFrame:
-    return X.select_best(X.dispatch(doc_hits(spark, sf_dir), sentence_kinds(spark, sf_dir)), compat)
+    key = ("best", id(spark), sf_dir, compat)
+    if key not in _CACHE:
+        _CACHE[key] = cut_lineage(X.select_best(X.dispatch(doc_hits(spark, sf_dir), sentence_kinds(spark, sf_dir)),
+                                                compat))
+    return _CACHE[key]
 
 
 def doc_fragments(spark: SparkSession, sf_dir: str):
