@@ -18,6 +18,7 @@ from . import fixtures as FX
 from .sql_annotate import annotate_ctes
 from .sql_model import (assemble_ctes, class_scores_sql, part_truth_pred_ctes, PART_FIXTURE, rel_scores_sql,
                         size_similarity_sql, summary_sql)
+from .prep_plans import PREP_ORACLE, PREP_QUERIES
 from .sql_rules import all_hits_ctes, priority_values, rule_ctes
 
 CORPUS_SQL = "SELECT doc_id, text, source FROM documents WHERE lang = 'en'"
@@ -171,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e10_integrity_violations": q_integrity,
     "e11_score_summary": q_summary,
     "e7_e9_spectral_scores": q_spectral,
+    **PREP_QUERIES,
 }
 
 
@@ -226,6 +228,7 @@ ORACLE: dict[str, str] = {
     "e8_size_similarity": size_similarity_sql(),
     "e10_integrity_violations": _integrity_sql(),
     "e11_score_summary": summary_sql(),
+    **PREP_ORACLE,
 }
 
 _ = part_truth_pred_ctes  # re-exported for tests
