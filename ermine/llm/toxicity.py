@@ -26,7 +26,6 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -186,10 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Score
             for d, t, k in zip(docid, text, toxic, strict=True):
                 out += [(str(d), k, w, n) for w, n in Counter(words(t)).items()]
             if out:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["id", "toxic", "word", "n"]),
-                                                 preserve_index=False)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)],
+                                                 names=["id", "toxic", "word", "n"])
 
-    counted = rows.mapInArrow(count, "id string, toxic int, word string, n long")
+    counted = rows.mapInArrow(count, "id string, toxic long, word string, n long")
     # folds by id, so that the regression sees ratios from a model that did not learn the row
     fold = F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int")
     total = (counted.groupBy("word", fold.alias("fold"), "toxic").agg(F.sum("n").alias("n"))).toPandas()
@@ -213,11 +212,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Score
         for b in batches:
             out = [(k, *features(scorers[f].ratios(t))) for t, k, f in
                    zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True)]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["toxic", "a", "b", "c"]).astype(
-                {"toxic": "int32"}), preserve_index=False)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)],
+                                                 names=["toxic", "a", "b", "c"])
 
     fold_of = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(FOLDS)).cast("int").alias("fold")
-    sample = rows.select("text", "toxic", fold_of).mapInArrow(judge, "toxic int, a double, b double, c double").toPandas()
+    sample = rows.select("text", "toxic", fold_of).mapInArrow(judge, "toxic long, a double, b double, c double").toPandas()
     x, y = sample[["a", "b", "c"]].to_numpy(), sample["toxic"].to_numpy()
     both = len(y) and 0 < y.sum() < len(y)
     return Scorer(model(None), fit_logistic(x, y) if both else None)
