@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, records, simhash, toxicity
+from . import decontam, mixing, records, simhash, token_counts, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.encode_documents(_t(spark, sf_dir, "documents"), tokenizer())
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_t(spark, sf_dir, "documents"), tokenizer())
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op5_toxicity": op5_toxicity,
     "op6_token_records": op6_token_records,
+    "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
 }
 
