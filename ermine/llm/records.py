@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -42,10 +41,10 @@ from .common import pick, store
 
 END = 0
 MASK = 0xA282EAD8        # fixed value of the record format
-CACHE = 400_000          # stretches whose ids a task remembers
+CACHE = 400_000          # stretches of a generation whose ids a worker remembers
 JOIN = 256               # stretches sent to the library in one text
 ROOM = 1 << 26           # bytes of a shard held before they are written
-UNSPLIT = re.compile(r"(?:^|\s) |[\s\x1c-\x1f\x85\xa0] ")
+BEFORE = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]  # a white space and a space
 
 
 def masked(data: bytes) -> int:
@@ -86,7 +85,9 @@ class Encoder:
         self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids whose text begins with a space
         for token, i in vocab.items():
             self.opens[i] = token.startswith("Ġ")
-        self.memory: dict[str, tuple[int, ...]] = {}
+        # two generations of stretches without their space, and their ids as bytes
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -94,47 +95,61 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         """Ids of stretches that begin with a space and hold no other, many in one call."""
         groups = [new[i:i + JOIN] for i in range(0, len(new), JOIN)]
-        for group, ids in zip(groups, self.plain(["".join(g) for g in groups]), strict=True):
-            a = np.array(ids, np.int64)
+        texts = [" " + " ".join(g) for g in groups]
+        for group, ids in zip(groups, self.plain(texts), strict=True):
+            a = np.array(ids, "<u4")
             cuts = np.flatnonzero(self.opens[a])
             if len(cuts) == len(group) and cuts[0] == 0:
-                at = [*cuts.tolist(), len(ids)]
-                for s, i, j in zip(group, at, at[1:], strict=False):
-                    self.memory[s] = tuple(ids[i:j])
+                data, at = a.tobytes(), [*(4 * cuts).tolist(), 4 * len(a)]
+                self.memory.update(zip(group, map(data.__getitem__, map(slice, at, at[1:])), strict=True))
             else:
-                for s, own in zip(group, self.plain(group), strict=True):
-                    self.memory[s] = tuple(own)
+                for s, own in zip(group, self.plain([" " + s for s in group]), strict=True):
+                    self.memory[s] = np.array(own, "<u4").tobytes()
+
+    def _know(self, stretches: set[str]) -> dict[str, bytes]:
+        """The memory, with all of ``stretches`` in it; what was not asked for lately goes first."""
+        if len(self.memory) > CACHE:
+            self.older, self.memory = self.memory, {}
+        new = stretches.difference(self.memory)
+        again = new.intersection(self.older)
+        self.memory.update((s, self.older[s]) for s in again)
+        self._learn(list(new - again))
+        return self.memory
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(texts)
+        parts = {k: t.split(" ") for k, t in enumerate(texts) if self.splits and not unsplit(t)}
+        whole = [k for k in range(len(texts)) if k not in parts]
+        firsts = [p[0] for p in parts.values()]
+        plain = [np.array(i, "<u4").tobytes() for i in self.plain([texts[k] for k in whole] + firsts)]
+        for k, ids in zip(whole, plain, strict=False):
+            out[k] = ids
+        stretches: set[str] = set()
+        for p in parts.values():
+            stretches.update(p[1:])
+        known = self._know(stretches).__getitem__
+        for (k, p), first in zip(parts.items(), plain[len(whole):], strict=True):
+            out[k] = first + b"".join(map(known, p[1:]))
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        split = {}
-        whole = []
-        for k, t in enumerate(texts):
-            if self.splits and not UNSPLIT.search(t):
-                split[k] = t.split(" ")
-            else:
-                whole.append(k)
-        for k, ids in zip(whole, self.plain([texts[k] for k in whole]), strict=True):
-            out[k] = np.array(ids, np.uint32)
-        firsts = self.plain([p[0] for p in split.values()])
-        memory = self.memory
-        new = {s for p in split.values() for s in p[1:]} - memory.keys()
-        if len(memory) + len(new) > CACHE:
-            memory.clear()
-            new = {s for p in split.values() for s in p[1:]}
-        if new:
-            spaced = sorted(new)
-            known = len(memory)
-            self._learn([" " + s for s in spaced])
-            for s in spaced:  # remembered without the space
-                memory[s] = memory.pop(" " + s)
-            assert len(memory) == known + len(spaced)
-        for (k, parts), first in zip(split.items(), firsts, strict=True):
-            ids = list(first)
-            for s in parts[1:]:
-                ids += memory[s]
-            out[k] = np.array(ids, np.uint32)
-        return out
+        return [np.frombuffer(b, "<u4") for b in self.encode_bytes(texts)]
+
+
+_OPEN: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker process; its memory lasts from task to task."""
+    if path not in _OPEN:
+        _OPEN[path] = Encoder(path)
+    return _OPEN[path]
+
+
+def unsplit(text: str) -> bool:
+    """Whether some space of the text may not begin a pre-token."""
+    return text.startswith(" ") or any(map(text.__contains__, BEFORE))
 
 
 def batches_of(texts: list[str], room: int = 1 << 21):
@@ -230,16 +245,16 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "d
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = writer = None
+        ids_of = writer = None
         ids, total = [], 0
         for b in batches:
             if not b.num_rows:
                 continue
             if writer is None:
-                encoder, writer = Encoder(tokenizer), ShardWriter(folder)
+                ids_of, writer = encoder(tokenizer).encode, ShardWriter(folder)
             text = b.column("text").to_pylist()
             for s in batches_of(text):
-                for e in encoder.encode(text[s]):
+                for e in ids_of(text[s]):
                     writer.add(pack_ids(np.append(e, np.uint32(END))))
                     total += len(e) + 1
             ids.append(b.column("doc_id"))
@@ -259,7 +274,8 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
     # one row a shard: as many as write_records had partitions
     before = F.coalesce(F.sum("n_tokens").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))
-    shards = manifest.withColumn("start", before).repartition("part")
+    # by number, so that the small rows of the manifest are not gathered into one task
+    shards = manifest.withColumn("start", before).repartition(max(1, manifest.count()), "part")
     schema = T.StructType([T.StructField("doc_id", manifest.schema["ids"].dataType.elementType),
                            T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids_crc32", T.LongType())])
