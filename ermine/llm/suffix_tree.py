@@ -4,9 +4,10 @@ A text is its lower-cased words joined by one space and closed by an end mark, a
 each sequence of words has one spelling and the model's probability is one over word sequences.
 Symbols are bytes.  A context of up to ``DEPTH`` bytes becomes a node of the tree if it makes up at
 least ``FLOOR`` of all training symbols and its next-symbol distribution diverges from that of the
-context one byte shorter: share of the context times Kullback-Leibler divergence of ``GAIN`` or more.
-A node's distribution is smoothed with ``WEIGHT`` pseudo-counts spread like its nearest retained suffix;
-the root is smoothed with the uniform distribution over 256 bytes.  Scoring follows the longest suffix state
+context one byte shorter: share of the context times Kullback-Leibler divergence is ``GAIN`` or more, and
+occurrences times divergence is ``EVIDENCE`` or more for each distinct next symbol.  A node's distribution is
+smoothed with ``WEIGHT`` pseudo-counts a distinct next symbol, spread like its nearest retained suffix; the
+root is smoothed with the uniform distribution over 256 bytes.  Scoring follows the longest suffix state
 through an automaton (states: prefixes of retained contexts), many stretches of text at a time.
 
 The base score needs every word's training count.  Words that make up at least ``COMMON`` of the training
@@ -36,11 +37,12 @@ from pyspark.sql import types as T
 
 from .common import held_out, pick, store
 
-DEPTH = 5
-FLOOR = 1e-5
+DEPTH = 6
+FLOOR = 1e-6
 GAIN = 1e-7
-WEIGHT = 2.0
-COMMON = 1e-6
+EVIDENCE = 1.0
+WEIGHT = 4.0
+COMMON = 2e-7
 END = 10             # byte of the end mark, which no word and no space can be
 LANES = 4096
 STREAM = 1 << 22     # bytes per vector step
@@ -115,11 +117,8 @@ def word_hash(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64).view(np.int64)
 
 
-END_HASH = int(word_hash([b""])[0])  # the end is counted as the empty word
-
-
 def word_counts(train: DataFrame) -> DataFrame:
-    """(text as bytes) -> (key, n): the hash of each training token and its count."""
+    """(text as bytes) -> (key, n): the hash of each training token (the end is the empty word) and its count."""
     def run(batches):
         held: Counter = Counter()
         for b in batches:
@@ -136,25 +135,36 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def retained(counts: DataFrame, floor: float = FLOOR, gain: float = GAIN) -> pd.DataFrame:
+def retained(counts: DataFrame, floor: float = FLOOR, gain: float = GAIN,
+             evidence: float = EVIDENCE) -> pd.DataFrame:
     """(d, key, n, total): next-symbol counts of the root and of each context that passes the tests."""
-    counts = store(counts)
-    every = counts.agg(F.sum("n")).first()[0] or 0
-    levels = (counts.select(F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("d"), "key", "n")
-              .withColumn("key", F.expr(f"shiftright(key, 8 * ({DEPTH} - d))"))
-              .groupBy("d", "key").agg(F.sum("n").alias("n"))
-              .withColumn("ctx", F.expr("key & (shiftleft(1L, 8 * d) - 1)")))
-    levels = store(levels)
-    often = store(levels.groupBy("d", "ctx").agg(F.sum("n").alias("total")).where(F.col("total") >= floor * every))
-    own = store(levels.join(often, ["d", "ctx"]))
-    shorter = own.select((F.col("d") + 1).alias("d"), F.col("key").alias("up"), F.col("n").alias("n0"),
-                         F.col("total").alias("total0"))
+    level = store(counts)
+    every = level.agg(F.sum("n")).first()[0] or 0
+    kept, longer = [], None
+    for d in range(DEPTH, -1, -1):
+        own = level.withColumn("ctx", F.expr(f"key & {(1 << 8 * d) - 1}L"))
+        often = own.groupBy("ctx").agg(F.sum("n").alias("total")).where(F.col("total") >= floor * every)
+        own = store(own.join(often, "ctx"))
+        if longer is not None:
+            kept.append(_diverging(longer, own, every, gain, evidence).withColumn("d", F.lit(d + 1)))
+        longer = own
+        if d:
+            level = store(level.groupBy(F.shiftright("key", 8).alias("key")).agg(F.sum("n").alias("n")))
+    out = longer.withColumn("d", F.lit(0))
+    for k in kept:
+        out = out.unionByName(k)
+    return out.select("d", "key", "n", "total").toPandas()
+
+
+def _diverging(own: DataFrame, shorter: DataFrame, every: int, gain: float, evidence: float) -> DataFrame:
+    """The rows (ctx, key, n, total) of ``own`` whose context passes against the context one byte shorter."""
     p, q = F.col("n") / F.col("total"), F.col("n0") / F.col("total0")
-    passed = (own.withColumn("up", F.shiftright("key", 8)).join(shorter, ["d", "up"])
-              .groupBy("d", "ctx").agg((F.first("total") / every * F.sum(p * F.log(p / q))).alias("gain"))
-              .where(F.col("gain") >= gain).select("d", "ctx"))
-    root = own.where("d = 0").select("d", "ctx").distinct()
-    return own.join(passed.unionByName(root), ["d", "ctx"]).select("d", "key", "n", "total").toPandas()
+    up = shorter.select(F.col("key").alias("up"), F.col("n").alias("n0"), F.col("total").alias("total0"))
+    divergence = F.first("total") * F.sum(p * F.log(p / q))
+    passed = (own.withColumn("up", F.shiftright("key", 8)).join(up, "up").groupBy("ctx")
+              .agg(divergence.alias("g"), F.count(F.lit(1)).alias("kinds"))
+              .where((F.col("g") >= gain * every) & (F.col("g") >= evidence * F.col("kinds"))).select("ctx"))
+    return own.join(passed, "ctx")
 
 
 @dataclass
@@ -166,9 +176,10 @@ class Automaton:
     @classmethod
     def build(cls, table: pd.DataFrame, weight: float = WEIGHT) -> Automaton:
         table = table.sort_values(["d", "key"])
-        d, key, n, total = (table[c].to_numpy(np.int64) for c in ("d", "key", "n", "total"))
-        nxt = key >> 8 * d
-        ctx = key & ((np.int64(1) << 8 * d) - 1)
+        d, n, total = (table[c].to_numpy(np.int64) for c in ("d", "n", "total"))
+        key = table["key"].to_numpy(np.int64).view(np.uint64)
+        nxt = (key >> (8 * d).astype(np.uint64)).astype(np.int64) & 255
+        ctx = (key & ((np.uint64(1) << (8 * d).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
         read = np.zeros_like(ctx)  # the context in reading order, first byte highest
         for k in range(DEPTH):
             read |= np.where(k < d, ((ctx >> 8 * (d - 1 - k)) & 255) << 8 * k, 0)
@@ -206,16 +217,17 @@ class Automaton:
         cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (ctx[1:] != ctx[:-1])]) if len(d) else np.zeros(0, int)
         of = np.array([first[a] + (np.searchsorted(level[a], b) if a else 0)
                        for a, b in zip(d[cut], read[cut], strict=True)], np.int64)
-        whole = np.zeros(states)
+        whole, kinds = np.zeros(states), np.zeros(states)
         where = np.repeat(of, np.diff(np.r_[cut, len(d)]))
-        whole[of] = total[cut]
+        whole[of], kinds[of] = total[cut], np.diff(np.r_[cut, len(d)])
+        held = weight * kinds  # pseudo-counts: a node with many followers trusts its counts less
         for size in range(DEPTH + 1):
             rows = np.arange(first[size], first[size + 1])
             prob[rows] = prob[link[rows]] if size else 1 / 256
             own = rows[whole[rows] > 0]
-            prob[own] *= (weight / (whole[own] + weight))[:, None]
+            prob[own] *= (held[own] / (whole[own] + held[own]))[:, None]
             mine = d == size
-            prob[where[mine], symbol[nxt[mine]]] += n[mine] / (total[mine] + weight)
+            prob[where[mine], symbol[nxt[mine]]] += n[mine] / (total[mine] + held[where[mine]])
         return cls(symbol.astype(np.int32), step, np.log10(prob).astype(np.float32))
 
     def score(self, stream: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -250,66 +262,46 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor
     tree = sc.broadcast(Automaton.build(retained(gram_counts(train), floor, gain)))
     words = store(word_counts(train))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # at most 1 / common words
-    top = words.where((F.col("n") >= common * n) | (F.col("key") == END_HASH)).toPandas()
-    often = sc.broadcast(dict(zip(top["key"].tolist(), np.log10(top["n"].to_numpy() + 1).tolist(), strict=True)))
+    is_common = F.col("n") >= common * n  # at most 1 / common words
+    top = words.where(is_common).toPandas().sort_values("key")
+    often = sc.broadcast((top["key"].to_numpy(np.int64), np.log10(top["n"].to_numpy(np.float64) + 1)))
     schema = T.StructType([*(f for f in d.schema.fields if f.name != "text"), *(
         T.StructField(c, t) for c, t in (("row", T.LongType()), ("n_tokens", T.LongType()), ("known", T.LongType()),
                                          ("logs", T.DoubleType()), ("score", T.DoubleType()),
-                                         ("rare", T.ArrayType(T.LongType())), ("times", T.ArrayType(T.IntegerType()))))])
+                                         ("rare", T.ArrayType(T.LongType()))))])
 
     def run(batches):
         from pyspark import TaskContext
 
-        model, logs = tree.value, often.value
+        model, (keys, logs) = tree.value, often.value
         row = TaskContext.get().partitionId() << 40
-        memory: dict[bytes, int] = {}  # hashes of the words met lately
-
-        def hashed(w: bytes) -> int:
-            if (h := memory.get(w)) is None:
-                if len(memory) >= FLUSH // 8:
-                    memory.clear()
-                h = xxhash.xxh64_intdigest(w)
-                h = memory[w] = h - (h >> 63 << 64)
-            return h
-
         for b in batches:
             at = 0
             for stream, starts, words in streams(x.as_py() for x in b.column("text")):
-                n_tokens, known, total, rare, times = [], [], [], [], []
-                for w in words:
-                    tf = Counter(w)
-                    tf[b""] = 1
-                    k, s, r, t = 0, 0.0, [], []
-                    for word, c in tf.items():
-                        h = hashed(word)
-                        if (log := logs.get(h)) is None:
-                            r.append(h)
-                            t.append(c)
-                        else:
-                            k += c
-                            s += c * log
-                    n_tokens.append(len(w) + 1)
-                    known.append(k)
-                    total.append(s)
-                    rare.append(r)
-                    times.append(t)
                 m = len(words)
+                n_tokens = np.array([len(w) + 1 for w in words])
+                first = np.cumsum(n_tokens) - n_tokens
+                h = word_hash(x for w in words for x in (*w, b""))
+                spot = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+                known = keys[spot] == h if len(keys) else np.zeros(len(h), bool)
+                log = np.where(known, logs[spot] if len(keys) else 0.0, 0.0)
+                n_known = np.add.reduceat(known.astype(np.int64), first)
+                rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_tokens - n_known)], pa.int32()),
+                                                pa.array(h[~known]))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(at, m), b.column("held_out").slice(at, m),
-                     pa.array(np.arange(row, row + m)), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()),
-                     pa.array(total, pa.float64()), pa.array(model.score(stream, starts)),
-                     pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))], names=schema.names)
+                     pa.array(np.arange(row, row + m)), pa.array(n_tokens), pa.array(n_known),
+                     pa.array(np.add.reduceat(log, first)), pa.array(model.score(stream, starts)), rare],
+                    names=schema.names)
                 row, at = row + m, at + m
 
     scored = store(d.mapInArrow(run, schema))
-    rare = (scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w"))
-            .select("row", F.col("w.rare").alias("key"), F.col("w.times").alias("c")))
+    rare = scored.select("row", F.explode("rare").alias("key"))
     # words that training never met add log10(1) = 0 and are not known: an inner join will do
-    sums = (rare.join(words.where(F.col("n") < common * n), "key").groupBy("row")
-            .agg(F.sum(F.col("c") * F.log10(F.col("n") + 1)).alias("more_logs"), F.sum("c").alias("more_known")))
+    sums = (rare.join(words.where(~is_common), "key").groupBy("row")
+            .agg(F.sum(F.log10(F.col("n") + 1)).alias("more_logs"), F.count(F.lit(1)).alias("more_known")))
     zero = F.lit(0)
     base = F.col("logs") + F.coalesce("more_logs", zero) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
-    return (scored.drop("rare", "times").join(sums, "row", "left")
+    return (scored.drop("rare").join(sums, "row", "left")
             .select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", zero)).alias("n_known"),
                     F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score"))

@@ -28,7 +28,7 @@ def slow_tree(train, floor, gain):
         elif n.total() >= floor * every:
             up = nxt[c[1:]]
             kl = sum(x / n.total() * math.log(x / n.total() / (up[a] / up.total())) for a, x in n.items())
-            if n.total() / every * kl >= gain:
+            if n.total() * kl >= max(gain * every, S.EVIDENCE * len(n)):
                 keep[c] = n
     return keep
 
@@ -39,7 +39,7 @@ def slow_score(tree, t):
             ctx = ctx[1:]
         n = tree.get(ctx, Counter())
         low = p(ctx[1:], a) if ctx else 1 / 256
-        return (n[a] + S.WEIGHT * low) / (n.total() + S.WEIGHT) if n else low
+        return (n[a] + S.WEIGHT * len(n) * low) / (n.total() + S.WEIGHT * len(n)) if n else low
     s = b"\n" * S.DEPTH + spell(t)
     return sum(math.log10(p(s[i - S.DEPTH:i], s[i])) for i in range(S.DEPTH, len(s)))
 
