@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, records, simhash, suffix_tree, token_counts, toxicity
+from . import decontam, licenses, line_dedup, mixing, quality, records, simhash, suffix_tree, token_counts, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_t(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(_t(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
@@ -41,6 +45,12 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.encode_documents(_t(spark, sf_dir, "documents"), tokenizer())
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: ``source/lang/doc_id``."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.licenses(_t(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_t(spark, sf_dir, "documents"), tokenizer())
 
@@ -57,8 +67,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_suffix_tree": op2_suffix_tree,
     "op3_source_mix": op3_source_mix,
+    "op4_line_dedup": op4_line_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_token_records": op6_token_records,
+    "op7_license_scan": op7_license_scan,
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
