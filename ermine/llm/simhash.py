@@ -223,4 +223,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                     "row"), shingle, radius))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
     first = store(cls.groupBy("root").agg(F.min(order).alias("o")).select("o.row"))
-    return kept.join(first, "row").select("doc.*")
+    # one plan at every size: a merge join, whatever the size of the kept rows
+    return kept.join(first.hint("merge"), "row").select("doc.*")
