@@ -38,8 +38,8 @@ from pyspark.sql import types as T
 from .common import held_out, pick, store
 
 DEPTH = 6
-FLOOR = 1e-6
-GAIN = 1e-7
+FLOOR = 2e-6
+GAIN = 2e-7
 EVIDENCE = 1.0
 WEIGHT = 4.0
 COMMON = 2e-7
@@ -211,7 +211,7 @@ class Automaton:
         step[rows] = step[link[rows]]
 
         # distributions, the shorter suffix first
-        prob = np.empty((states, width), np.float64)
+        prob = np.empty((states, width), np.float32)
         order = np.lexsort((ctx, d))
         d, ctx, read, nxt, n, total = (x[order] for x in (d, ctx, read, nxt, n, total))
         cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (ctx[1:] != ctx[:-1])]) if len(d) else np.zeros(0, int)
@@ -225,10 +225,10 @@ class Automaton:
             rows = np.arange(first[size], first[size + 1])
             prob[rows] = prob[link[rows]] if size else 1 / 256
             own = rows[whole[rows] > 0]
-            prob[own] *= (held[own] / (whole[own] + held[own]))[:, None]
+            prob[own] *= (held[own] / (whole[own] + held[own])).astype(np.float32)[:, None]
             mine = d == size
             prob[where[mine], symbol[nxt[mine]]] += n[mine] / (total[mine] + held[where[mine]])
-        return cls(symbol.astype(np.int32), step, np.log10(prob).astype(np.float32))
+        return cls(symbol.astype(np.int32), step, np.log10(prob, out=prob))
 
     def score(self, stream: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 probability of each text of a stream."""
@@ -296,6 +296,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor
                 row, at = row + m, at + m
 
     scored = store(d.mapInArrow(run, schema))
+    tree.destroy()  # the scores are written: the driver need not hold the tables any longer
+    often.destroy()
     rare = scored.select("row", F.explode("rare").alias("key"))
     # words that training never met add log10(1) = 0 and are not known: an inner join will do
     sums = (rare.join(words.where(~is_common), "key").groupBy("row")
