@@ -16,7 +16,7 @@ from ermine.session import build_session  # noqa: E402
 HEADLINE = [
     "t1_tokens", "t3_t4_t5_chunk_names", "r3_rule_hits", "r14_rule_hits", "r15_rule_hits", "r17_rule_hits",
     "r18_r19_selected_fragments", "a1_doc_model_rels", "a7_a10_part_model_rels", "e2_class_scores",
-    "e5_rel_scores_exact", "e8_size_similarity", "e7_e9_spectral_scores",
+    "e5_rel_scores_exact", "e8_size_similarity",
 ]
 
 

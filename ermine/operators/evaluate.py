@@ -7,11 +7,8 @@ model with no predicted class is the null model (scores 0, 0, 0).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _f1(p, r):
@@ -112,110 +109,3 @@ def score_summary(scores: DataFrame) -> DataFrame:
     return scores.groupBy("target").agg(F.avg("precision").alias("mean_precision"),
                                         F.avg("recall").alias("mean_recall"), F.avg("f1").alias("mean_f1"),
                                         F.count(F.lit(1)).alias("n_models"))
-
-
-# ---- E7 / E9: spectral similarity (one small matrix per model) ---------------
-
-SPECTRUM_MAX_NODES = 2000  # guard: larger graphs return null plus a flag instead of an O(n^3) solve
-
-
-def _spectrum(nodes: list, edges: list) -> list[float]:
-    import numpy as np
-    idx = {n: i for i, n in enumerate(nodes)}
-    n = len(nodes)
-    a = np.zeros((n, n))
-    for s, d in edges:
-        i, j = idx[s], idx[d]
-        a[i, j] += 1
-        if i != j:
-            a[j, i] += 1
-    deg = a.sum(axis=1)
-    with np.errstate(divide="ignore"):
-        inv = np.where(deg > 0, 1.0 / np.sqrt(deg), 0.0)
-    lap = np.eye(n) * (deg > 0) - (inv[:, None] * a * inv[None, :])
-    ev = np.linalg.eigvalsh(lap) if n else np.array([])
-    return sorted((float(x) for x in ev), reverse=True)
-
-
-def _select_k(spec, energy=0.9):
-    total = sum(spec)
-    if total == 0.0:
-        return len(spec)
-    run = 0.0
-    for i, x in enumerate(spec):
-        run += x
-        if run / total >= energy:
-            return i + 1
-    return len(spec)
-
-
-def spectral_similarity(pred_classes: DataFrame, pred_rels: DataFrame, true_classes: DataFrame,
-                        true_rels: DataFrame) -> DataFrame:
-    """Normalised-Laplacian spectra per model, compared on the top-k eigenvalues.
-
-    The graph facts are aggregated in Spark; each model's eigenvalues come from a
-    grouped pandas function (``cogroup().applyInPandas``), one small matrix per
-    model.  Models above ``SPECTRUM_MAX_NODES`` nodes are not solved (null + flag).
-    """
-    import pandas as pd
-
-    def side(classes, rels, tag):
-        n = classes.select("model", F.lit(tag).alias("side"), F.lit("n").alias("t"),
-                           F.col("class_name").alias("a"), F.lit(None).cast("string").alias("b"))
-        e = rels.select("model", F.lit(tag).alias("side"), F.lit("e").alias("t"), F.col("src").alias("a"),
-                        F.col("dst").alias("b"))
-        return n.unionByName(e)
-
-    facts = side(pred_classes, pred_rels, "p").unionByName(side(true_classes, true_rels, "g"))
-    models = true_classes.select("model").distinct()
-    facts = facts.join(models, "model", "left_semi")
-
-    def per_model(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = pdf["model"].iloc[0]
-        specs, too_big = {}, False
-        for tag in ("p", "g"):
-            s = pdf[pdf["side"] == tag]
-            nodes = list(dict.fromkeys(s[s["t"] == "n"]["a"].tolist()))
-            edges = list(zip(s[s["t"] == "e"]["a"], s[s["t"] == "e"]["b"]))
-            for a_, b_ in edges:
-                for x in (a_, b_):
-                    if x not in nodes:
-                        nodes.append(x)
-            if len(nodes) > SPECTRUM_MAX_NODES:
-                too_big = True
-                break
-            specs[tag] = _spectrum(nodes, edges)
-        if too_big:
-            return pd.DataFrame({"model": [model], "spectral_similarity": [None], "too_large": [True]})
-        l1, l2 = specs["p"], specs["g"]
-        k = min(_select_k(l1), _select_k(l2))
-        import numpy as np
-        a, b = np.array(l1[:k]), np.array(l2[:k])
-        if len(a) != len(b):
-            m = min(len(a), len(b))
-            a, b = a[:m], b[:m]
-        dist = float(np.linalg.norm(a - b))
-        sim = min(1.0, max(0.0, 2 - 2 / (1 + math.exp(-dist))))
-        return pd.DataFrame({"model": [model], "spectral_similarity": [sim], "too_large": [False]})
-
-    schema = T.StructType([T.StructField("model", T.StringType()), T.StructField("spectral_similarity",
-                                                                                   T.DoubleType()),
-                           T.StructField("too_large", T.BooleanType())])
-    return facts.groupBy("model").applyInPandas(per_model, schema)
-
-
-def relation_graph_scores(pred_classes, pred_rels, true_classes, true_rels) -> DataFrame:
-    """E9: "precision" = spectral similarity (E7), "recall" = size similarity (E8), F1 of both."""
-    s = spectral_similarity(pred_classes, pred_rels, true_classes, true_rels)
-    z = size_similarity(pred_classes, pred_rels, true_classes, true_rels)
-    j = s.join(z, "model")
-    return j.select("model", F.lit("rels_graph").alias("target"), F.col("spectral_similarity").alias("precision"),
-                    F.col("size_similarity").alias("recall")).withColumn("f1", _f1(F.col("precision"),
-                                                                                   F.col("recall")))
-
-
-def spectrum_trace_check(classes: DataFrame, rels: DataFrame) -> DataFrame:
-    """E7 check in pure SQL terms: trace of the normalised Laplacian = number of non-isolated nodes,
-    so the eigenvalue sum per model must equal it."""
-    d = graph_degrees(classes, rels)
-    return d.groupBy("model").agg(F.count_if(F.col("degree") > 0).alias("trace"))

@@ -147,11 +147,6 @@ def q_integrity(spark, sf):  # E10 (finds nothing after A9 / A10)
     return E.integrity_violations(c, r)
 
 
-def q_spectral(spark, sf):  # E7 + E9 (grouped pandas per model; rows-only check)
-    (tc, _, tr), (pc, _, pr) = _truth_pred(spark, sf)
-    return E.relation_graph_scores(pc, pr, tc, tr)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "t1_sentences": q_sentences,
     "t1_tokens": q_tokens,
@@ -171,7 +166,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e8_size_similarity": q_size_similarity,
     "e10_integrity_violations": q_integrity,
     "e11_score_summary": q_summary,
-    "e7_e9_spectral_scores": q_spectral,
     **PREP_QUERIES,
 }
 

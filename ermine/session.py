@@ -50,12 +50,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting must point at shared storage and is only read here.
-    When it is unset (local tests) a fresh scratch folder is created and set.
+    When it is unset on a local master (tests) a fresh scratch folder is created and set;
+    elsewhere that would be a folder the executors cannot share, so it is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         d = tempfile.mkdtemp(prefix="ermine-ckpt-", dir=os.environ.get("ERMINE_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

@@ -43,5 +43,3 @@ def test_scores(spark):
     assert (r.precision, r.recall) == (0.0, 0.0)
     z = E.size_similarity(tc, tr, tc, tr).first()
     assert abs(z.size_similarity - 1.0) < 1e-12
-    g = E.relation_graph_scores(tc, tr, tc, tr).first()
-    assert abs(g.precision - 1.0) < 1e-9
