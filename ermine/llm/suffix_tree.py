@@ -15,7 +15,8 @@ tokens are broadcast, the counts of all others meet the documents in a join.
 
 Scale: n-gram and word counts combine in each task (bounded memory, flushed) and again after one shuffle.
 Contexts kept are at most (DEPTH + 1) / FLOOR and common words at most 1 / COMMON, whatever the
-input; only these reach the driver and the broadcasts.  Words are compared by 64-bit hash.
+input; only these reach the driver and the broadcasts.  The automaton's dense tables are built from the retained
+contexts once in each Python worker, never on the driver.  Words are compared by 64-bit hash.
 
 Defined cases: null text is the empty text (one token, the end); a null id trains; repeated rows and ids
 each train and are each scored; without training rows every distribution is uniform and counts are 0; an empty
@@ -24,6 +25,7 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -252,6 +254,17 @@ class Automaton:
         return np.add.reduceat(flat, starts)
 
 
+_BUILT: dict[str, Automaton] = {}
+
+
+def _automaton(name: str, table: pd.DataFrame) -> Automaton:
+    """The automaton of ``table``, built once in each Python worker; only the latest is held."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Automaton.build(table)
+    return _BUILT[name]
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor: float = FLOOR, gain: float = GAIN,
           common: float = COMMON) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of ``docs``."""
@@ -259,7 +272,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor
          .select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), F.col("text").cast("binary").alias("text")))
     train = d.where(~F.col("held_out")).select("text")
     sc = docs.sparkSession.sparkContext
-    tree = sc.broadcast(Automaton.build(retained(gram_counts(train), floor, gain)))
+    tree, name = sc.broadcast(retained(gram_counts(train), floor, gain)), uuid.uuid4().hex
     words = store(word_counts(train))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     is_common = F.col("n") >= common * n  # at most 1 / common words
@@ -273,7 +286,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor
     def run(batches):
         from pyspark import TaskContext
 
-        model, (keys, logs) = tree.value, often.value
+        model, (keys, logs) = _automaton(name, tree.value), often.value
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             at = 0
