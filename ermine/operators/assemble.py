@@ -3,8 +3,8 @@
 The greedy, fragment-at-a-time merge of the original becomes hash aggregates
 keyed by ``(model, class ...)`` plus equi-joins.  Order still decides a few
 outcomes (first spelling, first non-null type, first non-empty multiplicity);
-it is carried by a single ``ord`` column and resolved with ``min_by``, so no
-window over a whole model and no collect of a model into one task: a huge model
+it is resolved with ``min_by`` (spelling and type over the struct of fragment and
+position, whatever the number of attributes), so no window over a whole model and no collect of a model into one task: a huge model
 spreads over its class keys and every aggregate combines map-side first.
 
 Order key: class fragments come first (A2), then relation fragments, each by
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.text import lower_first
 
 REL_PHASE = 1 << 62   # relation fragments sort after every class fragment
-POS_STRIDE = 16        # positions inside one fragment (at most 3 attributes, 2 classes)
+POS_STRIDE = 16        # spacing of fragments in the numeric ``first_ord`` columns; no choice rests on it
 
 
 def class_ord(seq: Column, pos: Column) -> Column:
@@ -61,7 +61,7 @@ def canonical_classes(fragment_classes: DataFrame) -> DataFrame:
     o = class_ord(F.col("seq"), F.col("class_pos"))
     return (cf.withColumn("lname", F.lower("class_name")).withColumn("ord", o)
             .groupBy("model", "lname")
-            .agg(F.min_by("class_name", "ord").alias("class_name"), F.min("ord").alias("first_ord")))
+            .agg(F.min_by("class_name", F.struct("seq", "class_pos")).alias("class_name"), F.min("ord").alias("first_ord")))
 
 
 def merged_attributes(fragment_attributes: DataFrame, canon: DataFrame) -> DataFrame:
@@ -70,7 +70,8 @@ def merged_attributes(fragment_attributes: DataFrame, canon: DataFrame) -> DataF
          .withColumn("ord", class_ord(F.col("seq"), F.col("attr_pos")))
          .join(canon.select("model", "lname", F.col("class_name").alias("owner")), ["model", "lname"]))
     return (a.groupBy("model", "owner", "attr_name")
-            .agg(F.min_by("attr_type", F.when(F.col("attr_type").isNotNull(), F.col("ord"))).alias("attr_type"),
+            .agg(F.min_by("attr_type", F.when(F.col("attr_type").isNotNull(), F.struct("seq", "attr_pos")))
+                 .alias("attr_type"),
                  F.min("ord").alias("first_ord")))
 
 

@@ -47,12 +47,12 @@ def assemble_ctes(p: str, fc: str, fa: str, fr: str) -> str:
     S = POS_STRIDE
     return f"""
 {p}canon AS (
-  SELECT model, lower(class_name) AS lname, arg_min(class_name, seq * {S} + class_pos) AS class_name,
+  SELECT model, lower(class_name) AS lname, arg_min(class_name, row(seq, class_pos)) AS class_name,
          min(seq * {S} + class_pos) AS first_ord
   FROM {fc} WHERE kind = 'class' GROUP BY model, lower(class_name)),
 {p}attrs AS (
   SELECT a.model, c.class_name AS owner, a.attr_name,
-         arg_min(a.attr_type, a.seq * {S} + a.attr_pos) FILTER (WHERE a.attr_type IS NOT NULL) AS attr_type,
+         arg_min(a.attr_type, row(a.seq, a.attr_pos)) FILTER (WHERE a.attr_type IS NOT NULL) AS attr_type,
          min(a.seq * {S} + a.attr_pos) AS first_ord
   FROM {fa} a JOIN {p}canon c ON c.model = a.model AND c.lname = lower(a.class_name)
   GROUP BY a.model, c.class_name, a.attr_name),

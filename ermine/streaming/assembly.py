@@ -41,7 +41,7 @@ def stream_attributes(spark: SparkSession, attrs_dir: str, checkpoint: str, name
     s = spark.readStream.schema(ATTR_SCHEMA).option("maxFilesPerTrigger", 1).parquet(attrs_dir)
     o = F.col("seq") * POS_STRIDE + F.col("attr_pos")
     agg = s.groupBy("model", F.lower("class_name").alias("lname"), "attr_name").agg(
-        F.min_by("attr_type", F.when(F.col("attr_type").isNotNull(), o)).alias("attr_type"),
+        F.min_by("attr_type", F.when(F.col("attr_type").isNotNull(), F.struct("seq", "attr_pos"))).alias("attr_type"),
         F.min(o).alias("first_ord"))
     return _run_complete(agg, name, checkpoint)
 

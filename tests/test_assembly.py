@@ -32,6 +32,14 @@ def test_merge_promote_link(spark):
     assert E.integrity_violations(c, r).count() == 0                   # E10
 
 
+def test_first_type_wins_beyond_many_attributes(spark):
+    many = [("m", 1, "Book", i, f"a{i}", None) for i in range(40) if i != 20]
+    fc, fa, fr = _frags(spark, [("m", 1, 0, "Book", "class"), ("m", 2, 0, "BOOK", "class")],
+                        [*many, ("m", 1, "Book", 20, "x", "int"), ("m", 2, "BOOK", 0, "x", "string")], [])
+    attrs = {x.attr_name: x.attr_type for x in assemble(fc, fa, fr)[1].collect()}
+    assert len(attrs) == 40 and attrs["x"] == "int"                   # A5: fragment 1 comes first
+
+
 def test_scores(spark):
     fc, fa, fr = _frags(spark, [("m", 1, 0, "A", "class"), ("m", 2, 0, "B", "class")], [],
                         [("m", 3, "A", "B", "", "x")])

@@ -6,6 +6,7 @@ from ermine.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 KEYS = ["t1_tokens", "t3_t4_t5_chunk_names", "r14_rule_hits", "r18_r19_selected_fragments", "a1_doc_model_rels",
+        "a5_a6_part_model_attributes", "a1_part_model_classes",
         "a7_a10_part_model_rels", "e2_class_scores", "e5_rel_scores_exact", "p2_grouped_texts",
         "p4a_pronoun_antecedents", "c4_c12_c14_bernoulli_predictions"]
 
