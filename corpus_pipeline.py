@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: one document of each group stays, the one with the smallest id."""
-    return simhash.keep_first(docs, shingle=4, radius=4)
+    return simhash.keep_first(docs, shingle=4, radius=4, scan=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: repeats and cuts documents to the sources' quotas."""
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, scan=True)
 
 
 def write_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

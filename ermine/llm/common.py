@@ -27,6 +27,20 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(docs: DataFrame, scan: bool = False) -> DataFrame:
+    """(doc, file, at): each row of ``docs`` as a struct, and its place in a stored file, which tells equal rows apart.
+
+    ``scan`` says that ``docs`` is a plain scan of stored files, which is then read where it lies; any other frame
+    is stored first, since its rows may have no place, or share one.
+    """
+    rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    if not scan:
+        docs = store(docs.select(rows))
+        rows = F.col("doc")
+    place = docs.metadataColumn("_metadata")
+    return docs.select(rows, place.getField("file_path").alias("file"), place.getField("row_index").alias("at"))
+
+
 def remainder(c: str, n: int) -> Column:
     """crc32 of the column as text, modulo ``n``; null for null."""
     return F.crc32(F.col(c).cast("string").cast("binary")) % n

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, pick, store
+from .common import WORD, pick, placed, store
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -80,8 +80,9 @@ def targets(by_source: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
 
 
 def plan(rows: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = BLOCK, shard_rows: int = SHARD_ROWS,
-         seed: int = SEED) -> DataFrame:
-    """(key, source, size) -> adds ``source_size``, ``target`` and ``taken``; ``rows`` should be a stored table."""
+         seed: int = SEED, tie: tuple = ()) -> DataFrame:
+    """(key, source, size) -> adds ``source_size``, ``target`` and ``taken``; ``rows`` should be a stored table.
+    ``tie``: columns that order rows of equal key and size."""
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     s = (targets(by_source, weights, cap)
          .withColumn("n_shards", F.ceil(F.col("n_rows") / shard_rows).cast("long"))
@@ -96,7 +97,7 @@ def plan(rows: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = BLOCK, s
     shards = (r.groupBy("place", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("seats")))
     quotas = store(apportion(shards, ["place"], "shard_size", "seats", ["shard"])
                    .select("place", "shard", "shard_size", "quota"))
-    line = Window.partitionBy("place", "shard").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("place", "shard").orderBy("draw", "size", *tie).rowsBetween(Window.unboundedPreceding, -1)
     r = r.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0))).join(quotas, ["place", "shard"])
     words = F.least(F.col("quota") * block, F.col("shard_size") * cap)
     rounds = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
@@ -115,20 +116,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-          **params) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a row per repeat of a document; a part taken is its first words."""
-    kept = store(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-                             F.monotonically_increasing_id().alias("row"),
-                             n_words(F.col(f"`{text_col}`")).alias("size")))
-    # one key carries the id (it draws the order) and the row (it tells equal ids apart)
-    key = F.concat_ws(":", F.col(f"doc.`{id_col}`").cast("string"), F.col("row").cast("string"))
-    taken = plan(store(kept.select(key.alias("key"), F.col(f"doc.`{source_col}`").alias("source"), "size", "row")),
-                 **params).where("taken > 0").select("row", "taken")
+          scan: bool = False, **params) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row per repeat of a document; a part taken is its first words.
+
+    The order is drawn from id and text, so it does not depend on the files' layout unless whole rows repeat.
+    ``scan``: ``docs`` is a plain scan of stored files (see :func:`placed`); else it is stored first.
+    """
+    docs_at = placed(docs, scan)
+    text = F.col(f"doc.`{text_col}`")
+    key = F.concat_ws(":", F.col(f"doc.`{id_col}`").cast("string"), F.xxhash64(text).cast("string"))
+    sized = store(docs_at.select(key.alias("key"), F.col(f"doc.`{source_col}`").alias("source"),
+                                 n_words(text).alias("size"), "file", "at"))
+    taken = plan(sized, tie=("file", "at"), **params).where("taken > 0").select("file", "at", "size", "taken")
     whole = (F.col("taken") / F.col("size")).cast("int")
     part = (F.col("taken") % F.col("size")).cast("int")
-    rows = (kept.join(taken, "row").withColumn("whole", whole).withColumn("part", part)
+    # one plan at every size: a merge join, whatever the size of the taken rows
+    rows = (docs_at.join(taken.hint("merge"), ["file", "at"]).withColumn("whole", whole).withColumn("part", part)
             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("whole") + (F.col("part") > 0).cast("int")))))
-    text = F.col(f"doc.`{text_col}`")
     head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1,
                                 F.col("part")), "")
     cut = F.when(F.col("copy") <= F.col("whole"), text).otherwise(head)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pick, store
+from .common import pick, placed, store
 from .components import components
 
 SEED = 42
@@ -215,13 +215,15 @@ def classes(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
-               radius: int = 4) -> DataFrame:
-    """The input's rows and columns, one row of each component: smallest id, then first stored."""
-    kept = store(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-                             F.monotonically_increasing_id().alias("row")))
-    cls = store(classes(kept.select(F.col(f"doc.`{id_col}`").alias("doc_id"), F.col(f"doc.`{text_col}`").alias("text"),
-                                    "row"), shingle, radius))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
-    first = store(cls.groupBy("root").agg(F.min(order).alias("o")).select("o.row"))
+               radius: int = 4, scan: bool = False) -> DataFrame:
+    """The input's rows and columns, one row of each component: smallest id, then first by file and place.
+
+    ``scan``: ``docs`` is a plain scan of stored files (see :func:`placed`); else it is stored first.
+    """
+    rows = placed(docs, scan)
+    cls = store(classes(rows.select(F.col(f"doc.`{id_col}`").alias("doc_id"), F.col(f"doc.`{text_col}`").alias("text"),
+                                    "file", "at"), shingle, radius))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("file"), F.col("at"))
+    first = store(cls.groupBy("root").agg(F.min(order).alias("o")).select("o.file", "o.at"))
     # one plan at every size: a merge join, whatever the size of the kept rows
-    return kept.join(first.hint("merge"), "row").select("doc.*")
+    return rows.join(first.hint("merge"), ["file", "at"]).select("doc.*")

@@ -15,7 +15,8 @@ def docs_of(spark):
     return make
 
 
-CLASHING = ["fp", "u", "v", "root", "row", "key", "size", "n", "word", "start", "score", "doc", "line", "taken"]
+CLASHING = ["fp", "u", "v", "root", "row", "key", "size", "n", "word", "start", "score", "doc", "line", "taken", "file",
+            "at", "copy", "_metadata"]
 
 
 @pytest.fixture(scope="session")

@@ -82,6 +82,18 @@ def test_mixed_rows_hold_what_the_plan_takes(docs_of, clash):
         assert abs(words[s] - t) <= M.BLOCK, (s, plan)
 
 
+def test_mixed_scan_is_the_same_mix_in_any_layout(spark, docs_of, clash, tmp_path):
+    data = rows(2, 300)
+    want = None
+    for parts in (1, 4):
+        clash(docs_of(data, parts)).write.parquet(f"{tmp_path}/docs{parts}")
+        df = spark.read.parquet(f"{tmp_path}/docs{parts}")
+        for out in (M.mixed(df, scan=True, shard_rows=64), M.mixed(df, shard_rows=64)):
+            got = sorted((str(r.doc_id), r.source, r.text) for r in out.collect())
+            assert got and got == (want or got)
+            want = got
+
+
 def test_empty_and_wordless_tables(docs_of):
     assert M.mix(docs_of([])).count() == 0
     assert M.mixed(docs_of([])).count() == 0

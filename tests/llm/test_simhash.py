@@ -93,11 +93,15 @@ def test_empty_table(docs_of):
     assert S.keep_first(docs_of([])).count() == 0
 
 
-def test_keep_first_keeps_one_row_a_component(docs_of, clash):
+@pytest.mark.parametrize("scan", [False, True])
+def test_keep_first_keeps_one_row_a_component(spark, docs_of, clash, tmp_path, scan):
     same = "a b c d e f g h"
     df = clash(docs_of([(3, same), (1, same), (1, same), (None, same), (7, "quite another text it is"), (None, "z"),
                         (None, "z")]))
-    got = S.keep_first(df)
+    if scan:
+        df.write.parquet(f"{tmp_path}/docs")
+        df = spark.read.parquet(f"{tmp_path}/docs")
+    got = S.keep_first(df, scan=scan)
     assert got.columns == df.columns
     assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [
         ("1", same), ("7", "quite another text it is"), ("None", "z")]
