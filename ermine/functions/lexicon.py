@@ -7,6 +7,7 @@ always safe whatever the corpus size.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEXICON_SCHEMA = T.StructType([
@@ -88,7 +89,8 @@ def lexicon_rows(with_test_words: bool = False) -> list[tuple]:
 
 
 def lexicon_df(spark: SparkSession, with_test_words: bool = False) -> DataFrame:
-    return spark.createDataFrame(lexicon_rows(with_test_words), LEXICON_SCHEMA)
+    """The fixed lexicon; a constant of this module, so it carries the broadcast hint itself."""
+    return F.broadcast(spark.createDataFrame(lexicon_rows(with_test_words), LEXICON_SCHEMA))
 
 
 def phrases_df(spark: SparkSession) -> DataFrame:

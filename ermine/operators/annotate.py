@@ -37,8 +37,8 @@ def raw_tokens(sents: DataFrame) -> DataFrame:
 
 
 def _lexicon_join(raw: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """T1 step 3: closed-class lexicon (a bounded constant, so broadcast) + open-class defaults."""
-    t = raw.withColumn("lower", F.lower("text")).join(F.broadcast(lexicon), F.col("lower") == F.col("word"), "left")
+    """T1 step 3: closed-class lexicon (Spark picks the join for a caller's own) + open-class defaults."""
+    t = raw.withColumn("lower", F.lower("text")).join(lexicon, F.col("lower") == F.col("word"), "left")
     is_num = F.col("text").rlike("^[0-9]+$")
     is_alpha = F.col("text").rlike("^[A-Za-z]+$")
     n = F.length("lower")

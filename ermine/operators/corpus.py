@@ -54,8 +54,8 @@ def split_dataset(corpus: DataFrame, sents: DataFrame, doc_kind: DataFrame, sent
 
 
 def exclude_models(df: DataFrame, excluded: DataFrame, model: str = "model") -> DataFrame:
-    """Drop rows of listed models (the list is small and bounded: broadcast anti join)."""
-    return df.join(F.broadcast(excluded.select(F.col(excluded.columns[0]).alias(model))), model, "left_anti")
+    """Drop rows of listed models (anti join; Spark broadcasts a list whose size allows it)."""
+    return df.join(excluded.select(F.col(excluded.columns[0]).alias(model)), model, "left_anti")
 
 
 def fragment_names(model_classes: DataFrame, model_rels: DataFrame) -> DataFrame:

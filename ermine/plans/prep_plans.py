@@ -125,9 +125,9 @@ def q_term_counts(spark, sf):  # C2
     return C.term_counts(_labelled(spark, sf))
 
 
-_LD = """ld AS (SELECT d.doc_id, d.text, l.quality AS label FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+_LD = r"""ld AS (SELECT d.doc_id, d.text, l.quality AS label FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
 tf AS (SELECT doc_id, term, count(*) AS tf
-       FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]{2,}')) AS term FROM ld)
+       FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM ld)
        GROUP BY doc_id, term),
 train AS (SELECT tf.doc_id, tf.term, tf.tf, ld.label FROM tf JOIN ld ON ld.doc_id = tf.doc_id
           WHERE tf.doc_id % 5 <> 0),
@@ -137,13 +137,13 @@ SQL_C2 = "WITH " + _LD + " SELECT doc_id, term, tf FROM tf"
 
 
 def q_tfidf(spark, sf):  # C3
-    _, _, train, test = _tf_split(spark, sf)
-    w = C.tfidf(train.select("doc_id", "term", "tf"), test)
+    ld, _, train, test = _tf_split(spark, sf)
+    w = C.tfidf(train.select("doc_id", "term", "tf"), test, C.key_split(ld, "doc_id")[0])
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 SQL_C3 = "WITH " + _LD + """,
-n AS (SELECT count(DISTINCT doc_id) AS n FROM train),
+n AS (SELECT count(*) AS n FROM ld WHERE doc_id % 5 <> 0),
 idf AS (SELECT term, ln((1.0 + n.n) / (count(*) + 1.0)) + 1.0 AS idf FROM train, n GROUP BY term, n.n),
 w AS (SELECT t.doc_id, t.term, t.tf * idf.idf AS w FROM test t JOIN idf ON idf.term = t.term)
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w"""
@@ -151,7 +151,9 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) A
 
 def _nb_table(spark, sf, kind):
     ld, _, train, test = _tf_split(spark, sf)
-    scores = C.bernoulli_nb(train, test) if kind == "bernoulli" else C.multinomial_nb(train, test)
+    train_docs, test_docs = C.key_split(ld, "doc_id")
+    fit = C.bernoulli_nb if kind == "bernoulli" else C.multinomial_nb
+    scores = fit(train, test, train_docs=train_docs, test_docs=test_docs)
     pred = C.predict(scores)
     t = C.prediction_table(pred, ld.select("doc_id", "label"))
     return t.select("doc_id", "truth", "prediction", F.round("score", 6).alias("score"))
@@ -175,12 +177,12 @@ _PICK = """pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc
 SELECT p.doc_id, ld.label AS truth, p.label AS prediction, round(p.score, 6) AS score
 FROM pick p JOIN ld ON ld.doc_id = p.doc_id"""
 
-_NB_COMMON = """docs AS (SELECT DISTINCT doc_id, label FROM train),
+_NB_COMMON = """docs AS (SELECT doc_id, label FROM ld WHERE doc_id % 5 <> 0),
 nc AS (SELECT label, count(*) AS n_c FROM docs GROUP BY label),
 nall AS (SELECT count(*) AS n FROM docs),
 vocab AS (SELECT DISTINCT term FROM train),
 v AS (SELECT count(*) AS v FROM vocab),
-tdocs AS (SELECT DISTINCT doc_id FROM test)"""
+tdocs AS (SELECT doc_id FROM ld WHERE doc_id % 5 = 0)"""
 
 SQL_C4 = "WITH " + _LD + ",\n" + _NB_COMMON + """,
 ncf AS (SELECT label, term, count(DISTINCT doc_id) AS n_cf FROM train GROUP BY label, term),
@@ -206,8 +208,8 @@ tcf AS (SELECT label, term, sum(tf) AS t_cf FROM train GROUP BY label, term),
 tc AS (SELECT label, sum(t_cf) AS t_c FROM tcf GROUP BY label),
 params AS (SELECT tcf.label, tcf.term, ln((t_cf + 1.0) / (t_c + v.v)) AS lt
            FROM tcf JOIN tc ON tc.label = tcf.label CROSS JOIN v),
-base AS (SELECT nc.label, ln(n_c / CAST(nall.n AS DOUBLE)) AS prior, ln(1.0 / (t_c + v.v)) AS l0
-         FROM nc JOIN tc ON tc.label = nc.label CROSS JOIN nall CROSS JOIN v),
+base AS (SELECT nc.label, ln(n_c / CAST(nall.n AS DOUBLE)) AS prior, ln(1.0 / (coalesce(t_c, 0) + v.v)) AS l0
+         FROM nc LEFT JOIN tc ON tc.label = nc.label CROSS JOIN nall CROSS JOIN v),
 present AS (SELECT t.doc_id, t.term, t.tf FROM test t JOIN vocab ON vocab.term = t.term),
 tot AS (SELECT doc_id, sum(tf) AS w_all FROM present GROUP BY doc_id),
 matched AS (SELECT p.doc_id, pa.label, sum(p.tf * pa.lt) AS s_m, sum(p.tf) AS w_m
