@@ -138,17 +138,22 @@ def write_plantuml(lines: DataFrame, path: str) -> None:
 def read_plantuml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The line subset written by S7 -> (classes, attributes, relations).
 
-    Line order comes from the file position; the enclosing class of an attribute
-    is the last ``class X`` line above it (a running last-non-null window per file).
+    Positions are line numbers: a file's lines in the order of its blocks, then as read within a block.  The
+    enclosing class of an attribute is the last ``class X`` line above it (a running last-non-null window per file).
+    An attribute line ``name : `` has the empty type, one without `` : `` none.
     """
-    # ``model`` comes back through partition discovery of the S7 layout (names unescaped)
-    raw = (spark.read.text(path).withColumn("_path", F.input_file_name())
-           .withColumn("model", F.col("model").cast("string"))
-           .withColumn("ln", F.monotonically_increasing_id()))
+    # ``model`` comes from partition discovery of the S7 layout (names unescaped), as text: 007 is not 7
+    scan = spark.read.schema("value string, model string").text(path)
+    place = scan.metadataColumn("_metadata")
+    raw = scan.select("model", "value", place.getField("file_path").alias("_path"),
+                      place.getField("file_block_start").alias("_block"),
+                      F.monotonically_increasing_id().alias("_read"))
     line = F.trim("value")
-    w = W.partitionBy("_path").orderBy("ln").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("_path").orderBy("_block", "_read")
+    w = order.rowsBetween(W.unboundedPreceding, 0)
     cls = F.regexp_extract(line, r"^class\s+(\S+)$", 1)
-    t = raw.select("model", "_path", "ln", line.alias("line"),
+    t = raw.select("model", F.row_number().over(order).cast("long").alias("ln"), line.alias("line"),
+                   F.ltrim("value").alias("full"),
                    F.last(F.when(cls != "", cls), True).over(w).alias("owner"),
                    F.last(F.when(line == "{", F.lit(True)).when(line == "}", F.lit(False)), True).over(w)
                    .alias("inside"))
@@ -156,9 +161,9 @@ def read_plantuml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
         "model", F.col("ln").alias("class_pos"), F.regexp_extract("line", r"^class\s+(\S+)$", 1).alias("class_name"))
     body = t.filter(F.col("inside") & ~F.col("line").isin("{", "}"))
     attributes = body.select("model", F.col("owner").alias("class_name"), F.col("ln").alias("attr_pos"),
-                             F.regexp_extract("line", r"^([^:]+?)(\s:\s.*)?$", 1).alias("attr_name"),
-                             F.when(F.col("line").contains(" : "),
-                                    F.regexp_extract("line", r"\s:\s(.*)$", 1)).alias("attr_type"))
+                             F.substring_index("full", " : ", 1).alias("attr_name"),
+                             F.when(F.col("full").contains(" : "),
+                                    F.regexp_extract("full", r"^.*? : (.*)$", 1)).alias("attr_type"))
     rel_re = r'^(\S+)\s+(?:"(\d)"\s+)?-->(?:\s+"([\d*])")?\s+(\S+)(?:\s:\s(.*))?$'
     r = t.filter(~F.col("inside") & F.col("line").rlike(rel_re))
     lo, hi = F.regexp_extract("line", rel_re, 2), F.regexp_extract("line", rel_re, 3)
@@ -176,7 +181,11 @@ def write_fragments(fc: DataFrame, fa: DataFrame, fr: DataFrame, path: str) -> N
 
 
 def read_fragments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/{n}") for n in ("classes", "attributes", "rels"))
+    """The three tables as written; ``model`` stays text, whatever it looks like."""
+    def table(name):
+        stored = spark.read.parquet(f"{path}/{name}").drop("model").schema
+        return spark.read.schema(stored.add("model", "string")).parquet(f"{path}/{name}")
+    return table("classes"), table("attributes"), table("rels")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:

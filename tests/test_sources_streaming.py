@@ -24,6 +24,38 @@ def test_plantuml_round_trip(spark):
         sorted(r.select("model", "src", "dst", "mult", "rel_name").collect())
 
 
+def test_plantuml_keeps_model_keys_empty_types_and_block_order(spark):
+    c = spark.createDataFrame([("007", f"C{i}", i) for i in range(40)] + [("1e3", "X", 0)],
+                              "model string, class_name string, first_ord long")
+    a = spark.createDataFrame([(m, k, f"{t}{k}", ty, j) for m, k in [("007", f"C{i}") for i in range(40)] + [("1e3", "X")]
+                               for j, (t, ty) in enumerate([("Title ", ""), ("size", None), ("of", "a : b"), ("n", "int")])],
+                              "model string, class_name string, attr_name string, attr_type string, first_ord long")
+    r = spark.createDataFrame([], "model string, src string, dst string, mult string, rel_name string, first_ord long")
+    out = tempfile.mkdtemp(prefix="ermine-puml-", dir="/tmp")
+    S.write_plantuml(S.plantuml_lines(c, a, r), out)
+    settings = {"spark.sql.files.maxPartitionBytes": "256", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():                                     # a file is read in many blocks
+            spark.conf.set(k, v)
+        rc, ra, _ = (x.collect() for x in S.read_plantuml(spark, out))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [x.class_name for x in sorted(rc, key=lambda x: x.class_pos) if x.model == "007"] == [f"C{i}" for i in range(40)]
+    key = lambda x: tuple(str(v) for v in x)
+    assert sorted(((x.model, x.class_name, x.attr_name, x.attr_type) for x in ra), key=key) == sorted(
+        ((x.model, x.class_name, x.attr_name, x.attr_type) for x in a.collect()), key=key)
+
+
+def test_fragment_store_keeps_model_keys(spark):
+    d = tempfile.mkdtemp(prefix="ermine-frag-", dir="/tmp")
+    df = spark.createDataFrame([("007", 1), ("1e3", 2), (None, 3)], "model string, seq long")
+    S.write_fragments(df, df, df, d)
+    for t in S.read_fragments(spark, d):
+        assert sorted(t.select("model", "seq").collect(), key=lambda x: x.seq) == df.collect()
+
+
 def test_json_model_scan(spark):
     d = tempfile.mkdtemp(prefix="ermine-json-", dir="/tmp")
     wrapped = {"elements": [{"type": "package", "name": "p", "elements": [
