@@ -54,3 +54,12 @@ def held_out(c: str, n: int, at: int) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once: lambda bodies would compute it per element."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a short text, bit by bit (it has no such function)."""
+    data = f"hex(encode({text}))"
+    bits = (f"flatten(list_transform(range(1, length({data}), 2), "
+            f"lambda k: [CAST('0x' || substring({data}, k, 2) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))")
+    return (f"xor(list_reduce({bits}, lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384), "
+            f"CAST(4294967295 AS BIGINT)), 4294967295)")
