@@ -8,10 +8,10 @@ What a task leaves open goes on to a round of fewer tasks, and so on until one t
 everything.  The tasks of a round are as many as hand each about ``GATHER`` times what it may keep open, so
 the last one reads a bounded number of sequences, whatever the input.
 
-Tokens: the ids of a text are those of its stretches between ASCII white space, one after the other, as long as the
-tokenizer file folds white space into blanks and never lets a pre-token hold one (:func:`stretched` looks); each
-distinct stretch is then encoded by the library once, up to a bound, with a special string between stretches.  Other
-files have every text encoded whole.  Texts are taken in stretches of about ``ROOM`` characters at a time.
+Tokens: where the tokenizer file folds white space and no pre-token holds any (:func:`stretched` looks), the ids of a text
+are those of its stretches between ASCII white space, one after the other.  Each distinct stretch is then encoded by the
+library once, up to a bound, a Latin word with marks after it as the word in lower case and the marks.  Other files have
+every text encoded whole.  Texts are taken in spans of about ``ROOM`` characters.
 
 Defined cases: null text is empty and is one piece that holds the end id; very long texts are cut into pieces of the
 full length, the last one shorter; ties go to the sequence opened last; repeated rows and ids are rows like any other;
@@ -24,6 +24,7 @@ import json
 import os
 import re
 import zlib
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -37,28 +38,27 @@ LENGTH = 4096
 END = 1
 OPEN = 512           # sequences a task keeps open
 GATHER = 8           # tasks' open sequences that a task of the next round reads, about
-CACHE = 400_000      # stretches of a generation whose ids a worker remembers
+CACHE = 1_000_000      # stretches of a generation whose ids a worker remembers
 JOIN = 256           # stretches sent to the library in one text
 ROOM = 1 << 20       # characters split at a time
 ROWS = 1 << 14       # rows sent to Spark at a time
+MARKS = ".,;:!?#$%&*()"  # of white space, letters, digits and apostrophes none
+# fixed values of the tokenizer file
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+FOLDS = [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
 BLANK = re.compile(r"[\x20\x09-\x0D]")
 
 
 # ---- ids ----------------------------------------------------------------------------------------
 
 def stretched(spec: dict) -> bool:
-    """Whether a tokenizer file treats what lies between ASCII white space apart: its normalizer only composes, folds
-    white space and changes case, and its pre-tokenizer keeps the matches of a pattern in which nothing matches a blank."""
-    norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
-    steps = norm.get("normalizers") or []
-    folds = [s for s in steps if s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} and s["content"] == " "]
-    cuts = (pre.get("pretokenizers") or [{}])[0]
-    if not folds or any(s["type"] not in ("NFC", "Lowercase", "Replace") for s in steps) or len(folds) + sum(
-            s["type"] != "Replace" for s in steps) != len(steps):
-        return False
-    pattern = cuts.get("pattern", {}).get("Regex", " ") if cuts.get("type") == "Split" else " "
-    plain = re.sub(r"\[\^\\s[^\]]*\]|\[?\\p\{[LN]\}\]?", "x", pattern)  # classes without white space
-    return (cuts.get("invert") is True and cuts.get("behavior") == "Removed" and not re.search(r"[\\\[\].\s(]", plain)
+    """Whether a tokenizer file treats what lies between ASCII white space apart, and in it, runs of letters and runs of
+    marks: its normalizer composes, folds white space and lowers case, its pre-tokenizer keeps the matches of ``PATTERN``."""
+    norm, pre = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return ([(s["type"], s.get("pattern"), s.get("content")) for s in norm.get("normalizers") or []] == FOLDS
+            and pre[0] == {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+            and [(p["type"], p["use_regex"], p["add_prefix_space"]) for p in pre[1:]] == [("ByteLevel", False, False)]
+            and spec["model"].get("end_of_word_suffix") == "</w>"
             and not any(a["lstrip"] or a["rstrip"] or BLANK.search(a["content"]) for a in spec["added_tokens"]))
 
 
@@ -70,52 +70,70 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        spec = json.loads(self.library.to_str())
-        marks = [a for a in spec["added_tokens"] if a["special"] and not a["normalized"]]
-        self.mark = marks[-1]["content"] if marks and stretched(spec) else None
-        self.mark_id = marks[-1]["id"] if marks else -1
-        self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.splits = stretched(json.loads(self.library.to_str()))
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a pre-token
+        for token, i in vocab.items():
+            self.ends[i] = token.endswith("</w>")
+        # two generations of stretches and their ids
+        self.memory: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        single = [s for s in new if self.mark in s]
-        for s, ids in zip(single, self.plain(single), strict=True):
-            self.memory[s] = ids.tobytes()
-        rest = [s for s in new if self.mark not in s]
-        groups = [rest[i:i + JOIN] for i in range(0, len(rest), JOIN)]
-        for group, ids in zip(groups, self.plain([self.mark.join(g) for g in groups]), strict=True):
-            cuts = 4 * np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(group) - 1:  # marks that ran together with their neighbours
-                self.memory.update((s, i.tobytes()) for s, i in zip(group, self.plain(group), strict=True))
-                continue
+    def _words(self, words: list[bytes]) -> None:
+        """Stretches that are one pre-token each, many in one text."""
+        groups = [words[i:i + JOIN] for i in range(0, len(words), JOIN)]
+        for group, ids in zip(groups, self.plain([b" ".join(g).decode() for g in groups]), strict=True):
+            last = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             data = ids.tobytes()
-            first, last = [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)]
-            self.memory.update(zip(group, map(data.__getitem__, map(slice, first, last)), strict=True))
-
-    def know(self, stretches: set[str]):
+            if len(last) != len(group) or last[-1] != len(data):
+                raise ValueError("a word is not one pre-token")
+            self.memory.update(zip(group, map(data.__getitem__, map(slice, [0, *last], last)), strict=False))
+
+    def _learn(self, new: set[bytes]) -> None:
+        words, rest = set(), []
+        made, lows, ends = [], [], []  # not a list of tuples, which Python's garbage collector would visit
+        for s in new:
+            low, marks = (s.lower(), b"") if s.isalpha() else letters(s)
+            if not low:
+                rest.append(s)
+                continue
+            words.add(low)
+            if marks:
+                words.add(marks)
+            if marks or low != s:
+                made.append(s)
+                lows.append(low)
+                ends.append(marks)
+        known = self.memory
+        self._words(list(words.difference(known)))
+        known[b""] = b""
+        known.update(zip(made, map(add, map(known.get, lows), map(known.get, ends)), strict=True))
+        known.update((s, i.tobytes()) for s, i in zip(rest, self.plain([s.decode() for s in rest]), strict=True))
+
+    def know(self, stretches: set[bytes]):
         """A look-up that has all of ``stretches``; what was not asked for lately goes first."""
         if len(self.memory) > CACHE:
             self.older, self.memory = self.memory, {}
         new = stretches.difference(self.memory)
         again = new.intersection(self.older)
         self.memory.update((s, self.older[s]) for s in again)
-        self._learn(list(new - again))
+        self._learn(new - again)
         return self.memory.__getitem__
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.mark is None:
+        if not self.splits or not texts:
             return [i.tobytes() for i in self.plain(texts)]
-        parts = [BLANK.sub(" ", t).split(" ") for t in texts]
-        known = self.know(set().union(*parts) if parts else set())
+        parts = [t.encode().split() for t in texts]
+        known = self.know(set().union(*parts))
         return [b"".join(map(known, p)) for p in parts]
 
     def spans(self, text: str):
         """The text in spans that can be encoded apart."""
         at = 0
-        while self.mark is not None and len(text) - at > ROOM:
+        while self.splits and len(text) - at > ROOM:
             cut = BLANK.search(text, at + ROOM)
             if cut is None:
                 break
@@ -124,6 +142,17 @@ class Ids:
         yield text[at:]
 
 
+def letters(stretch: bytes) -> tuple[bytes, bytes]:
+    """A stretch as a word in lower case and a run of marks after it, each one pre-token; empty if it is anything else."""
+    text = stretch.decode()
+    core = text.rstrip(MARKS)
+    low = core.lower()
+    # letters up to here compose with nothing
+    if low.isalpha() and max(low) < "\u0250":
+        return low.encode(), text[len(core):].encode()
+    return b"", b""
+
+
 _OPEN: dict[str, Ids] = {}
 
 

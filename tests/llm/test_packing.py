@@ -84,9 +84,10 @@ def test_packer_is_bounded_space_best_fit():
 
 def test_ids_are_the_library_s(library):
     own = packing.Ids(tokenizer(NAME))
-    assert own.mark is not None
+    assert own.splits
     texts = ["", " ", "a  b\tc\r\n", "It's NAÏVE, é ́x a b c\x1cd 12345 's 're", "x<|endoftext|>y <|startoftext|>",
-             "<|endoftext| <|endoftext|> >", "ΣΑΣ ς İI ǅ", "日本語 テスト", "a\x0bb\x0cc\x85d e", "x" * 5000, "😀 👩‍👩‍👧 ͅ ﬁ"]
+             "<|endoftext| <|endoftext|> >", "ΣΑΣ ς İI ǅ", "日本語 テスト", "Word. word, WORD!? Éé. é. . ... İx. x.y ŉ K. Å, ßẞ ǅ. ab's. ª² ²",
+             "Étion dans, çouelle", "T\u0308 H\u0331x t\u0308", "<|STARTOFTEXT|> <|startoftext|>. a, b.", '"a", (b. c), d', "a.", "é, É. x", "a\x0bb\x0cc\x85d e", "x" * 5000, "😀 👩‍👩‍👧 ͅ ﬁ"]
     for t, got in zip(texts, own.encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
@@ -99,7 +100,18 @@ def test_other_files_are_encoded_whole(library):
     pre = json.loads(json.dumps(spec["pre_tokenizer"]))
     pre["pretokenizers"][0]["pattern"]["Regex"] = r" ?\p{L}+|."
     assert not packing.stretched({**spec, "pre_tokenizer": pre})
-    assert packing.Ids(tokenizer("byte_bpe_50k.json")).mark is None
+    own = packing.Ids(tokenizer("byte_bpe_50k.json"))
+    assert not own.splits
+    assert np.frombuffer(own.encode(["a  b"])[0], "<u4").tolist() == own.library.encode("a  b").ids
+
+
+def test_generations(library, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 3)
+    own = packing.Ids(tokenizer(NAME))
+    for k in range(12):
+        texts = [f"Word{c}. the, {c} é{c} the" for c in "abcdefg"[k % 5:k % 5 + 3]]
+        for t, got in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_pack(docs_of, clash, library):
