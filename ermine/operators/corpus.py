@@ -59,18 +59,16 @@ def exclude_models(df: DataFrame, excluded: DataFrame, model: str = "model") ->
 
 
 def fragment_names(model_classes: DataFrame, model_rels: DataFrame) -> DataFrame:
-    """Number class and relation fragments per model, named ``{model}_{kind}{n}``.
+    """Number class and relation fragments per model, named ``{model}_{kind}{n}``."""
+    from ..functions.order import placed
 
-    The number is a position inside one model, so this ranks within a model window.
-    """
-    c = model_classes.select("model", F.lit("class").alias("kind"), F.col("first_ord").alias("o"),
+    c = model_classes.select(F.struct("model", F.lit("class").alias("kind")).alias("g"), F.col("first_ord").alias("o"),
                              F.col("class_name").alias("item"))
-    r = model_rels.select("model", F.lit("rel").alias("kind"), F.col("first_ord").alias("o"),
+    r = model_rels.select(F.struct("model", F.lit("rel").alias("kind")).alias("g"), F.col("first_ord").alias("o"),
                           F.concat_ws(" ", "src", "dst", "rel_name").alias("item"))
-    u = c.unionByName(r)
-    n = F.row_number().over(W.partitionBy("model", "kind").orderBy("o", "item"))
-    return u.select("model", "kind", "item", F.format_string("%s_%s%d", F.col("model"), F.col("kind"), n)
-                    .alias("fragment"))
+    u = placed(c.unionByName(r), "g", ["o", "item"], "n")
+    return u.select("g.model", "g.kind", "item", F.format_string("%s_%s%d", F.col("g.model"), F.col("g.kind"),
+                                                                 F.col("n") + 1).alias("fragment"))
 
 
 def fragment_lookup(labels: DataFrame, fragments: DataFrame, label_fk: str, fragment_key: str) -> DataFrame:

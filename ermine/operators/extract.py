@@ -12,7 +12,6 @@ from .annotate import token_names
 from .rules import RULES, Rule, rule_hits
 
 KEY = ["doc_id", "sent_id"]
-SEQ_STRIDE = 1_000_000  # sentences per document stay far below this (documents are at most 20,000 words)
 
 
 def all_hits(tokens: DataFrame, rules: list[Rule] | None = None, names: DataFrame | None = None) -> DataFrame:
@@ -49,10 +48,10 @@ def select_best(hits: DataFrame, compat: bool = False) -> DataFrame:
 def fragments(best: DataFrame, doc_models: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Selected hits -> ``fragment_classes``, ``fragment_attributes``, ``fragment_rels``.
 
-    ``doc_models`` maps ``doc_id`` to ``model``; ``seq`` keeps document then sentence order.
+    ``doc_models`` maps ``doc_id`` to ``model``; ``seq`` is the struct of both keys, of whatever type they are.
     """
     b = best.join(doc_models.select("doc_id", "model"), "doc_id").withColumn(
-        "seq", F.col("doc_id").cast("long") * SEQ_STRIDE + F.col("sent_id"))
+        "seq", F.struct("doc_id", "sent_id"))
     is_cls = F.col("kind") == "class"
     classes = b.select("model", "seq", F.explode(
         F.when(is_cls, F.array(F.struct(F.lit(0).alias("class_pos"), F.col("cls").alias("class_name"))))
@@ -79,13 +78,12 @@ def coverage(hits: DataFrame, sentence_kinds: DataFrame, rules: list[Rule] | Non
     """Per kind and rule, matched and unmatched sentence counts, with rollup totals."""
     spark = hits.sparkSession
     rules = rules or RULES
-    rk = F.broadcast(spark.createDataFrame([(r.rid, r.kind) for r in rules], "rule string, kind string"))
-    cand = sentence_kinds.select(*KEY, "kind").join(rk, "kind")
-    hit = hits.select(*KEY, "rule").distinct().withColumn("_hit", F.lit(True))
-    j = cand.join(hit, [*KEY, "rule"], "left")
-    return (j.rollup("kind", "rule")
-            .agg(F.count_if(F.col("_hit").isNotNull()).alias("matched"),
-                 F.count_if(F.col("_hit").isNull()).alias("unmatched")))
+    rk = spark.createDataFrame([(r.rid, r.kind) for r in rules], "rule string, kind string")
+    total = sentence_kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    hit = dispatch(hits, sentence_kinds).groupBy("kind", "rule").agg(F.count(F.lit(1)).alias("matched"))
+    j = rk.join(total, "kind").join(hit, ["kind", "rule"], "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    return j.rollup("kind", "rule").agg(F.coalesce(F.sum("matched"), F.lit(0)).alias("matched"),
+                                        F.coalesce(F.sum(F.col("n") - F.col("matched")), F.lit(0)).alias("unmatched"))
 
 
 def unmatched_sentences(hits: DataFrame, sentence_kinds: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ head chain from the few candidate tokens upward, one join per level.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -41,7 +40,6 @@ class Role:
 @dataclass(frozen=True)
 class Rule:
     rid: str
-    title: str
     kind: str
     roles: tuple
     # result template: name sources are (name_kind, role) with name_kind in pascal / camel / explicit / lemma
@@ -64,73 +62,73 @@ def R(name, parent=None, op=">", lemma=(), lemma_not=(), pos=(), dep=()):
 
 # ---- fixed values: the seventeen patterns (roles and results) -----------------
 RULES = [
-    Rule("R1", "simple copula", "class",
+    Rule("R1", "class",
          (R("copula", lemma="be"), R("subject", "copula", dep="nsubj"),
           R("object", "copula", dep="attr", lemma="class")),
          cls=("pascal", "subject")),
-    Rule("R2", "there is or exists", "class",
+    Rule("R2", "class",
          (R("copula", lemma=("be", "exist")), R("subject", "copula", dep="expl"),
           R("object", "copula", dep=("attr", "npadvmod", "dobj"), pos=NOUNS)),
          cls=("pascal", "object")),
-    Rule("R3", "compound", "class",
+    Rule("R3", "class",
          (R("noun", pos=NOUNS, lemma_not=("class", "Class"), dep="ROOT"),),
          cls=("pascal", "noun"), single_sentence=True),
-    Rule("R4", "compound class explicit", "class",
+    Rule("R4", "class",
          (R("noun", pos=NOUNS, lemma=("class", "Class"), dep="ROOT"),
           R("complement", "noun", dep=("amod", "compound"))),
          cls=("explicit", "noun"), single_sentence=True, single_chunk=True),
-    Rule("R5", "to have", "class",
+    Rule("R5", "class",
          (R("have", dep="ROOT", pos="VERB", lemma=HAVE_FAMILY), R("subject", "have", dep="nsubj"),
           R("object", "have", dep="dobj")),
          cls=("pascal", "subject"), attrs=(("camel", "object"),), attr_type=None),
-    Rule("R6", "class named", "class",
+    Rule("R6", "class",
          (R("klass", lemma=("class", "Class"), dep="ROOT"), R("named", "klass", pos="VERB", lemma="name"),
           R("object", "named", dep="oprd")),
          cls=("pascal", "object")),
-    Rule("R7", "component of package", "class",
+    Rule("R7", "class",
          (R("copula", lemma="be", dep="ROOT"), R("component", "copula", dep="attr", lemma=("component", "part")),
           R("package", "component", op=">>", lemma="package"), R("subject", "copula", dep="nsubj")),
          cls=("pascal", "subject")),
-    Rule("R8", "3 component and clause", "class",
+    Rule("R8", "class",
          (R("have", dep="ROOT", lemma=HAVE_FAMILY), R("subject", "have", dep="nsubj"),
           R("first_object", "have", dep="dobj"), R("second_object", "first_object", dep="appos"),
           R("cc_and", "second_object", dep="cc", lemma="and"), R("last_object", "second_object", dep="conj")),
          cls=("pascal", "subject"),
          attrs=(("pascal", "first_object"), ("pascal", "second_object"), ("pascal", "last_object")), attr_type=""),
-    Rule("R9", "2 component and clause", "class",
+    Rule("R9", "class",
          (R("have", dep="ROOT", lemma=HAVE_FAMILY), R("subject", "have", dep="nsubj"),
           R("first_object", "have", dep="dobj"), R("cc_and", "first_object", dep="cc", lemma="and"),
           R("last_object", "first_object", dep="conj")),
          cls=("pascal", "subject"), attrs=(("pascal", "first_object"), ("pascal", "last_object")), attr_type=""),
-    Rule("R10", "to have", "rel",
+    Rule("R10", "rel",
          (R("have", dep="ROOT", pos="VERB", lemma=("have", "contain")), R("subject", "have", dep="nsubj"),
           R("object", "have", dep="dobj")),
          src=("pascal", "subject"), dst=("pascal", "object")),
-    Rule("R11", "to have with multiplicity", "rel",
+    Rule("R11", "rel",
          (R("verb", lemma="have"), R("subject", "verb", dep="nsubj"), R("object", "verb", dep="dobj"),
           R("number", "object", pos="NUM", dep="nummod"), R("adverb", "number", dep="advmod")),
          src=("pascal", "subject"), dst=("pascal", "object"), multiplicity=True),
-    Rule("R12", "passive voice", "rel",
+    Rule("R12", "rel",
          (R("verb", dep="ROOT", pos="VERB"), R("subject", "verb", dep="nsubjpass", pos=NOUNS),
           R("by", "verb", pos="ADP"), R("object", "by", dep="pobj", pos=NOUNS)),
          src=("pascal", "object"), dst=("pascal", "subject"), rel_name=("lemma", "verb")),
-    Rule("R13", "composed", "rel",
+    Rule("R13", "rel",
          (R("composed", lemma=("compose", "associate"), dep="ROOT"), R("subject", "composed", dep="nsubjpass"),
           R("object", "composed", op=">>", pos=NOUNS)),
          src=("pascal", "subject"), dst=("pascal", "object"), distinct=(("subject", "object"),)),
-    Rule("R14", "active voice", "rel",
+    Rule("R14", "rel",
          (R("verb", lemma_not=("be", "exist"), dep="ROOT"), R("subject", "verb", dep="nsubj"),
           R("object", "verb", dep="dobj")),
          src=("pascal", "subject"), dst=("pascal", "object"), rel_name=("lemma", "verb")),
-    Rule("R15", "active voice preposition", "rel",
+    Rule("R15", "rel",
          (R("verb", dep="ROOT", lemma_not=("be", "exist")), R("subject", "verb", dep="nsubj"),
           R("object", "verb", op=">>", dep="pobj")),
          src=("pascal", "subject"), dst=("pascal", "object"), rel_name=("lemma", "verb")),
-    Rule("R16", "noun with", "rel",
+    Rule("R16", "rel",
          (R("noun", pos=NOUNS, dep="ROOT"), R("with_", "noun", pos="ADP", dep="prep", lemma="with"),
           R("object", "with_", pos=NOUNS, dep="pobj")),
          src=("pascal", "noun"), dst=("pascal", "object")),
-    Rule("R17", "copula rel", "rel",
+    Rule("R17", "rel",
          (R("copula", lemma="be", dep="ROOT"), R("subject", "copula", dep="nsubj"),
           R("complement", "copula", dep="attr"), R("prep", "complement", pos="ADP"),
           R("noun", "prep", dep="pobj")),
@@ -155,38 +153,26 @@ def _role_cond(role: Role):
     return cond
 
 
-def descendant_pairs(tokens: DataFrame, cand: DataFrame, max_depth: int = 1 << 16,
-                     levels_per_pass: int = 4) -> DataFrame:
+def descendant_pairs(tokens: DataFrame, cand: DataFrame) -> DataFrame:
     """(doc_id, sent_id, desc, anc) for every candidate token and each of its ancestors.
 
-    Bounded loop of head joins from the candidates upward; it stops when no
-    candidate has a further ancestor (heads form a forest).  Edges are first
-    restricted to the sentences holding a candidate, and each pass climbs
-    ``levels_per_pass`` levels before one reliable checkpoint (flat plans,
-    survives executor loss, few jobs).
+    Pointer doubling over the sentences that hold a candidate: pass k knows the ancestors nearer than 2^k and the
+    jump of 2^k heads, so a chain of n heads takes about log2(n) passes, each a stored table.  It ends when a pass finds
+    nothing new; so it does where heads go round, and every token of the round is then an ancestor of the others.
     """
     sents = cand.select(*KEY).distinct()
-    edges = (tokens.filter(F.col("head").isNotNull()).join(sents, KEY, "left_semi")
-             .select(*KEY, F.col("tok_id").alias("cur"), F.col("head").alias("anc")))
-    edges = cut_lineage(edges)
-    frontier = cand.select(*KEY, F.col("tok_id").alias("desc"), F.col("tok_id").alias("cur"))
-    passes = []
-    depth = 0
+    jump = cut_lineage(tokens.filter(F.col("head").isNotNull()).join(sents, KEY, "left_semi")
+                       .select(*KEY, F.col("tok_id").alias("cur"), F.col("head").alias("far")))
+    known = cand.select(*KEY, F.col("tok_id").alias("desc"), F.col("tok_id").alias("anc")).distinct()
+    n = -1
     while True:
-        f, lv = frontier, []
-        for k in range(levels_per_pass):
-            f = f.join(edges, [*KEY, "cur"]).select(*KEY, "desc", "anc").withColumn("_lvl", F.lit(k))
-            lv.append(f)
-            f = f.drop("_lvl").withColumnRenamed("anc", "cur")
-        batch = cut_lineage(reduce(DataFrame.unionByName, lv))
-        passes.append(batch.select(*KEY, "desc", "anc"))
-        frontier = batch.filter(F.col("_lvl") == levels_per_pass - 1).select(*KEY, "desc", F.col("anc").alias("cur"))
-        depth += levels_per_pass
-        if frontier.isEmpty():
-            break
-        if depth > max_depth:
-            raise RuntimeError("head chain deeper than max_depth: the token table has a cycle")
-    return reduce(DataFrame.unionByName, passes)
+        step = known.join(jump.withColumnRenamed("cur", "anc"), [*KEY, "anc"]).select(*KEY, "desc", F.col("far").alias("anc"))
+        known = cut_lineage(known.unionByName(step).distinct())
+        before, n = n, known.count()
+        if n == before:
+            return known.filter(F.col("desc") != F.col("anc"))
+        jump = cut_lineage(jump.join(jump.select(*KEY, F.col("cur").alias("far"), F.col("far").alias("next")), [*KEY, "far"])
+                           .select(*KEY, "cur", F.col("next").alias("far")))
 
 
 def match(tokens: DataFrame, rule: Rule) -> DataFrame:

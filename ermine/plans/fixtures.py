@@ -12,13 +12,13 @@ from ..functions.lexicon import lexicon_df
 from ..functions.text import capitalize, lower_first
 from ..operators import annotate as A
 from ..operators import assemble as M
+from ..operators import classify as C
 from ..operators import extract as X
 from ..session import cut_lineage
 
-# Stage outputs read by several queries are written once with a reliable
-# checkpoint into ``spark.checkpoint.dir``: the plan downstream starts from a
-# flat scan (the annotation and 17 rule plans are not re-analysed per action),
-# the (doc_id, sent_id) partitioning is kept, and lost executors recompute nothing.
+# Stage outputs read by several queries are written once, as Parquet, into ``spark.checkpoint.dir``:
+# the plan downstream starts from a flat scan (the annotation and 17 rule plans are not
+# re-analysed per action) that prunes columns and takes filters, and lost executors recompute nothing.
 _CACHE: dict = {}
 
 
@@ -26,15 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def english_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select("doc_id", "text", "source")
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotated tokens of the English documents (test lexicon), cached once per session and folder."""
+    """Annotated tokens of all documents (test lexicon), cached once per session and folder."""
     key = ("tokens", id(spark), sf_dir)
     if key not in _CACHE:
-        _CACHE[key] = cut_lineage(A.annotate(english_corpus(spark, sf_dir), lexicon_df(spark, True)))
+        _CACHE[key] = cut_lineage(A.annotate(corpus(spark, sf_dir), lexicon_df(spark, True)))
     return _CACHE[key]
 
 
@@ -45,20 +45,36 @@ def doc_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _CACHE[key]
 
 
-def sentence_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal kind rule for the fixture: even sentences are ``class``, odd ones ``rel``."""
-    s = A.sentences(english_corpus(spark, sf_dir))
-    return s.select("doc_id", "sent_id", F.when(F.col("sent_id") % 2 == 0, "class").otherwise("rel").alias("kind"))
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled texts with their kind: (doc_id, text, label)."""
+    kind = F.when(F.col("quality") == 1, "class").otherwise("rel")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(
+        table(spark, sf_dir, "labels").select("doc_id", kind.alias("label")), "doc_id")
 
 
 def doc_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rule results; persisted because selection, coverage and assembly all read them."""
+    """All rule results; stored, because kinds, selection, coverage and assembly all read them."""
     key = ("hits", id(spark), sf_dir)
     if key not in _CACHE:
         _CACHE[key] = cut_lineage(X.all_hits(doc_tokens(spark, sf_dir), names=doc_names(spark, sf_dir)))
     return _CACHE[key]
 
 
+def sentence_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of every sentence, by the Bernoulli model (C4) of the sentences whose rule results are of one kind."""
+    key = ("kinds", id(spark), sf_dir)
+    if key not in _CACHE:
+        sent = F.struct("doc_id", "sent_id").alias("doc_id")
+        one = doc_hits(spark, sf_dir).groupBy("doc_id", "sent_id").agg(F.min("kind").alias("label"), F.max("kind").alias("other"))
+        known = one.filter("label = other").select(sent, "label")
+        s = A.sentences(corpus(spark, sf_dir)).select(sent, "sentence")
+        terms = cut_lineage(C.term_counts(s, text="sentence"))
+        scores = C.bernoulli_nb(terms.join(known, "doc_id"), terms, train_docs=known, test_docs=s)
+        best = C.predict(scores.withColumn("score", F.round("score", 6)))
+        _CACHE[key] = cut_lineage(best.select("doc_id.doc_id", "doc_id.sent_id", F.col("prediction").alias("kind")))
+    return _CACHE[key]
+
+
 def doc_best(spark: SparkSession, sf_dir: str, compat: bool = False) -> DataFrame:
     key = ("best", id(spark), sf_dir, compat)
     if key not in _CACHE:
@@ -67,9 +83,9 @@ def doc_best(spark: SparkSession, sf_dir: str, compat: bool = False) -> DataFram
     return _CACHE[key]
 
 
-def doc_fragments(spark: SparkSession, sf_dir: str):
-    models = english_corpus(spark, sf_dir).select("doc_id", F.col("source").alias("model"))
-    return X.fragments(doc_best(spark, sf_dir), models)
+def doc_fragments(spark: SparkSession, sf_dir: str, compat: bool = False):
+    models = corpus(spark, sf_dir).select("doc_id", F.col("source").alias("model"))
+    return X.fragments(doc_best(spark, sf_dir, compat), models)
 
 
 def doc_model(spark: SparkSession, sf_dir: str):
@@ -91,7 +107,8 @@ def part_fragments(spark: SparkSession, sf_dir: str):
     cls_name = F.when(F.col("p_partkey") % 17 == 0, F.upper("pname")).otherwise(F.col("pname"))
     attr_name = F.when((F.col("p_partkey") % 29 == 0) & F.col("next_pname").isNotNull(),
                        lower_first(F.col("next_pname"))).otherwise(F.lower("p_type"))
-    p = p.select(F.col("p_brand").alias("model"), F.col("p_partkey").alias("seq"), cls_name.alias("class_name"),
+    seq = F.struct(F.col("p_partkey").alias("major"), F.lit(0).alias("minor"))
+    p = p.select(F.col("p_brand").alias("model"), seq.alias("seq"), cls_name.alias("class_name"),
                  attr_name.alias("attr_name"),
                  F.when(F.col("p_size") % 2 == 1, F.lit("string")).alias("attr_type"))
     fc = M.fragment_class_rows(p, "model", "seq", "class_name")
@@ -107,20 +124,50 @@ def part_fragments(spark: SparkSession, sf_dir: str):
                      F.col("pname").alias("src"))
     b = names.select(F.col("p_partkey").alias("next_part"), F.col("pname").alias("dst"))
     r = li.join(a, "l_partkey").join(b, "next_part").select(
-        "model", (F.lit(10_000_000) + F.col("l_orderkey") * 100 + F.col("rn")).alias("seq"), "src", "dst",
+        "model", F.struct(F.col("l_orderkey").alias("major"), F.col("rn").alias("minor")).alias("seq"), "src", "dst",
         F.when(F.col("rn") % 3 == 0, "").when(F.col("rn") % 3 == 1, "0..*").otherwise("1..1").alias("mult"),
         F.lower("l_returnflag").alias("rel_name"))
     fr = M.fragment_rel_rows(r, "model", "seq", "src", "dst", "mult", "rel_name")
     return fc, fa, fr
 
 
-def keep_seq(frags, modulus: int):
-    """Truth / prediction subsets of the fixture: fragments with ``seq % modulus <> 0``."""
-    return tuple(f.filter(F.col("seq") % modulus != 0) for f in frags)
+def part_model(spark: SparkSession, sf_dir: str):
+    return M.assemble(*part_fragments(spark, sf_dir))
+
 
+# ---- truth and prediction: the same fragments, all of them, and an altered copy ------------------
 
-def part_model(spark: SparkSession, sf_dir: str, modulus: int | None = None):
-    frags = part_fragments(spark, sf_dir)
-    if modulus:
-        frags = keep_seq(frags, modulus)
-    return M.assemble(*frags)
+MOVED, ADDED = "Brand#7", "Brand#0"   # a model only the truth has, and one only the prediction has
+KEPT = "Brand#5"                      # a model that both sides have alike
+
+
+def sided_fragments(spark: SparkSession, sf_dir: str):
+    """Fragments whose ``model`` is (side, model).  The prediction renames classes, retypes attributes, changes
+    multiplicities and directions, adds classes and moves one model to another name; it loses no row."""
+    def sided(df, side, model=F.col("model")):
+        return df.withColumn("model", F.struct(F.lit(side).alias("side"), model.alias("model")))
+
+    fc, fa, fr = (cut_lineage(x) for x in part_fragments(spark, sf_dir))
+    # a number that no remainder asked for below fits, where the model is left alone
+    major = F.when(F.col("model") == KEPT, 1).otherwise(F.col("seq.major"))
+    minor = F.when(F.col("model") == KEPT, 0).otherwise(F.col("seq.minor"))
+    model = F.when(F.col("model") == MOVED, ADDED).otherwise(F.col("model"))
+    name = F.when(major % 5 == 0, F.concat(F.col("class_name"), F.lit("Item"))).otherwise(F.col("class_name"))
+    pc = fc.withColumn("class_name", name)
+    extra = fc.filter(major % 11 == 0).withColumn("class_name", F.concat(F.lit("New"), F.col("class_name")))
+    pa = fa.withColumn("class_name", name).withColumn("attr_type", F.when(major % 3 == 0, "int").otherwise(F.col("attr_type")))
+    turned = (major + minor) % 13 == 0
+    pr = fr.select("model", "seq", F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src"),
+                   F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst"),
+                   F.when(major % 7 == 0, "1..*").otherwise(F.col("mult")).alias("mult"), "rel_name")
+    return tuple(sided(t, "truth").unionByName(sided(p, "prediction", model))
+                 for t, p in ((fc, pc.unionByName(extra)), (fa, pa), (fr, pr)))
+
+
+def sided_models(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, DataFrame, DataFrame]]:
+    """Both sides from one assembly, stored once."""
+    key = ("sided", id(spark), sf_dir)
+    if key not in _CACHE:
+        _CACHE[key] = tuple(cut_lineage(x) for x in M.assemble(*sided_fragments(spark, sf_dir)))
+    return {side: tuple(x.filter(F.col("model.side") == side).withColumn("model", F.col("model.model"))
+                        for x in _CACHE[key]) for side in ("truth", "prediction")}

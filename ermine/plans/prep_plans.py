@@ -9,12 +9,13 @@ from ..operators import corpus as P
 from ..operators import annotate as A
 from . import fixtures as FX
 from .sql_annotate import annotate_ctes
+from .sql_rules import all_hits_ctes
 
 EXCLUDED_MODELS = ["src0"]  # P7 fixture: one partially labelled source
 
 
 def _ann_sql():
-    return "WITH RECURSIVE " + annotate_ctes("SELECT doc_id, text, source FROM documents WHERE lang = 'en'")
+    return "WITH RECURSIVE " + annotate_ctes("SELECT doc_id, text, source FROM documents")
 
 
 # ---- corpus preparation ---------------------------------------------------------
@@ -54,30 +55,62 @@ SELECT doc_id, sent_id, trim(string_agg(text, ' ' ORDER BY tok_id)) AS sentence
 
 
 def q_split_dataset(spark, sf):  # P6
-    corpus = FX.english_corpus(spark, sf)
-    sents = A.sentences(corpus)
-    doc_kind = corpus.select("doc_id", F.lit("class").alias("kind"))
-    return P.split_dataset(corpus, sents, doc_kind, FX.sentence_kinds(spark, sf))
+    known = FX.labelled(spark, sf)
+    return P.split_dataset(known, A.sentences(known), known.select("doc_id", F.col("label").alias("kind")),
+                           FX.sentence_kinds(spark, sf))
+
+
+def kinds_ctes() -> str:
+    """``kinds`` of all sentences of ``sents``: the Bernoulli model (C4) of those whose rule results (``all_hits``) are of
+    one kind; the better score to six places, ties to the smaller kind."""
+    return r"""k_known AS (SELECT doc_id, sent_id, min(kind) AS label FROM all_hits GROUP BY ALL HAVING min(kind) = max(kind)),
+k_all AS (SELECT DISTINCT doc_id, sent_id, unnest(regexp_extract_all(lower(sentence), '[\p{L}\p{N}_]{2,}')) AS term FROM sents),
+k_pres AS (SELECT * FROM k_all JOIN k_known USING (doc_id, sent_id)),
+k_nc AS (SELECT label, count(*) AS n_c FROM k_known GROUP BY label),
+k_vocab AS (SELECT DISTINCT term FROM k_pres),
+k_params AS (SELECT label, term, ln((n_cf + 1.0) / (n_c + 2.0)) AS lt, ln(1.0 - (n_cf + 1.0) / (n_c + 2.0)) AS l1t
+  FROM (SELECT label, term, count(*) AS n_cf FROM k_pres GROUP BY ALL) JOIN k_nc USING (label)),
+k_base AS (SELECT label, ln(n_c / (SELECT CAST(count(*) AS DOUBLE) FROM k_known)) + coalesce(s_seen, 0)
+    + ((SELECT count(*) FROM k_vocab) - coalesce(k_seen, 0)) * ln(1.0 - 1.0 / (n_c + 2.0)) AS base,
+    ln(1.0 / (n_c + 2.0)) - ln(1.0 - 1.0 / (n_c + 2.0)) AS w0
+  FROM k_nc LEFT JOIN (SELECT label, sum(l1t) AS s_seen, count(*) AS k_seen FROM k_params GROUP BY label) USING (label)),
+k_terms AS (SELECT * FROM k_all JOIN k_vocab USING (term)),
+k_np AS (SELECT doc_id, sent_id, count(*) AS n_p FROM k_terms GROUP BY ALL),
+k_m AS (SELECT doc_id, sent_id, label, sum(lt - l1t) AS s_m, count(*) AS k_m FROM k_terms JOIN k_params USING (term) GROUP BY ALL),
+k_scores AS (SELECT s.doc_id, s.sent_id, b.label,
+    round(base + coalesce(s_m, 0) + (coalesce(n_p, 0) - coalesce(k_m, 0)) * w0, 6) AS score
+  FROM sents s CROSS JOIN k_base b LEFT JOIN k_np USING (doc_id, sent_id) LEFT JOIN k_m USING (doc_id, sent_id, label)),
+kinds AS (SELECT doc_id, sent_id, arg_min(label, {'s': -score, 'l': label}) AS kind FROM k_scores GROUP BY ALL)"""
+
+
+SQL_P6 = _ann_sql() + f""",
+{all_hits_ctes()},
+{kinds_ctes()},
+k_docs AS (SELECT d.doc_id, d.text, CASE WHEN l.quality = 1 THEN 'class' ELSE 'rel' END AS label
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM sents JOIN k_docs USING (doc_id) GROUP BY doc_id)
+SELECT c.doc_id, c.text AS english, c.label AS kind, CAST(NULL AS INTEGER) AS offset
+FROM k_docs c JOIN n ON n.doc_id = c.doc_id WHERE n.n = 1
+UNION ALL
+SELECT s.doc_id, s.sentence AS english, kind, s.sent_id AS offset
+FROM sents s JOIN n ON n.doc_id = s.doc_id JOIN kinds k ON k.doc_id = s.doc_id AND k.sent_id = s.sent_id WHERE n.n > 1"""
 
 
-SQL_P6 = _ann_sql() + """,
-n AS (SELECT doc_id, count(*) AS n FROM sents GROUP BY doc_id)
-SELECT c.doc_id, c.text AS english, 'class' AS kind, CAST(NULL AS INTEGER) AS offset
-FROM corpus c JOIN n ON n.doc_id = c.doc_id WHERE n.n = 1
-UNION ALL
-SELECT s.doc_id, s.sentence AS english, CASE WHEN s.sent_id % 2 = 0 THEN 'class' ELSE 'rel' END AS kind,
-  s.sent_id AS offset
-FROM sents s JOIN n ON n.doc_id = s.doc_id WHERE n.n > 1"""
+def q_kinds(spark, sf):  # C12 on sentences
+    return FX.sentence_kinds(spark, sf)
+
+
+SQL_KINDS = _ann_sql() + ",\n" + all_hits_ctes() + ",\n" + kinds_ctes() + "\nSELECT * FROM kinds"
 
 
 def q_excluded_models(spark, sf):  # P7
-    docs = FX.english_corpus(spark, sf).select("doc_id", F.col("source").alias("model"))
+    docs = FX.corpus(spark, sf).select("doc_id", F.col("source").alias("model"))
     excl = spark.createDataFrame([(m,) for m in EXCLUDED_MODELS], "model string")
     return P.exclude_models(docs, excl)
 
 
-SQL_P7 = f"""SELECT source AS model, doc_id FROM documents WHERE lang = 'en'
-  AND source NOT IN ({', '.join("'" + m + "'" for m in EXCLUDED_MODELS)})"""
+SQL_P7 = f"""SELECT source AS model, doc_id FROM documents
+  WHERE source NOT IN ({', '.join("'" + m + "'" for m in EXCLUDED_MODELS)})"""
 
 
 def q_fragment_lookup(spark, sf):  # P9
@@ -241,12 +274,47 @@ UNION ALL SELECT 'accuracy', round(avg(CASE WHEN truth = prediction THEN 1.0 ELS
   round(avg(CASE WHEN truth = prediction THEN 1.0 ELSE 0.0 END), 6), count(*) FROM t"""
 
 
+def _neighbours(spark, sf):
+    ld, tf, train, test = _tf_split(spark, sf)
+    train_docs, test_docs = C.key_split(ld, "doc_id")
+    fitted = train.select("doc_id", "term", "tf")
+    return C.nearest(C.tfidf(fitted, fitted, train_docs), C.tfidf(fitted, test, train_docs), train_docs, test_docs), train_docs
+
+
+def q_neighbours(spark, sf):  # C6
+    return _neighbours(spark, sf)[0].withColumn("similarity", F.round("similarity", 6))
+
+
+def q_knn(spark, sf):  # C6 + C14
+    near, train_docs = _neighbours(spark, sf)
+    return C.prediction_table(C.vote(near, train_docs), _labelled(spark, sf).select("doc_id", "label"))
+
+
+_KNN = "WITH " + _LD + """,
+n AS (SELECT count(*) AS n FROM ld WHERE doc_id % 5 <> 0),
+idf AS (SELECT term, ln((1.0 + n.n) / (count(*) + 1.0)) + 1.0 AS idf FROM train, n GROUP BY term, n.n),
+w AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w
+      FROM (SELECT tf.doc_id, tf.term, tf.tf * idf.idf AS w FROM tf JOIN idf ON idf.term = tf.term)),
+pairs AS (SELECT q.doc_id, d.doc_id AS neighbour FROM ld q JOIN ld d ON q.doc_id % 5 = 0 AND d.doc_id % 5 <> 0),
+dots AS (SELECT a.doc_id, b.doc_id AS neighbour, sum(a.w * b.w) AS s FROM w a JOIN w b ON a.term = b.term
+         WHERE a.doc_id % 5 = 0 AND b.doc_id % 5 <> 0 GROUP BY ALL),
+near AS (SELECT * FROM (SELECT p.doc_id, p.neighbour, round(coalesce(s, 0), 9) AS similarity,
+           row_number() OVER (PARTITION BY p.doc_id ORDER BY round(coalesce(s, 0), 9) DESC, p.neighbour) AS rank
+         FROM pairs p LEFT JOIN dots USING (doc_id, neighbour)) WHERE rank <= 3)"""
+
+SQL_NEAR = _KNN + " SELECT doc_id, neighbour, round(similarity, 6) AS similarity, rank FROM near"
+
+SQL_KNN = _KNN + """ SELECT v.doc_id, q.label AS truth, v.prediction FROM (
+  SELECT doc_id, arg_min(label, {'n': -n, 'l': label}) AS prediction
+  FROM (SELECT near.doc_id, ld.label, count(*) AS n FROM near JOIN ld ON ld.doc_id = near.neighbour GROUP BY ALL) GROUP BY doc_id) v
+JOIN ld q ON q.doc_id = v.doc_id"""
+
+
 def q_ml_grid(spark, sf):  # C7-C11 (Spark ML; rows-only check): label = English or not
     d = FX.table(spark, sf, "documents").select(
         "doc_id", "text", (F.col("lang") == "en").cast("double").alias("label"))
     train, test = C.key_split(d, "doc_id")
-    return C.leaderboard(train, test, models=["bernoulli_nb", "multinomial_nb", "logistic_regression",
-                                              "linear_svc", "random_forest"], vectorizers=("count",))
+    return C.leaderboard(train, test)
 
 
 PREP_QUERIES = {
@@ -257,12 +325,15 @@ PREP_QUERIES = {
     "p5_conjunctive_role_lists": q_role_lists,
     "p6_split_dataset": q_split_dataset,
     "p7_excluded_models": q_excluded_models,
+    "c12_sentence_kinds": q_kinds,
     "p9_fragment_lookup": q_fragment_lookup,
     "c2_term_counts": q_term_counts,
     "c3_tfidf_weights": q_tfidf,
     "c4_c12_c14_bernoulli_predictions": q_bernoulli,
     "c5_multinomial_predictions": q_multinomial,
     "c13_classification_report": q_report,
+    "c6_nearest_neighbours": q_neighbours,
+    "c6_knn_predictions": q_knn,
     "c7_c11_model_grid": q_ml_grid,
 }
 
@@ -274,10 +345,13 @@ PREP_ORACLE = {
     "p5_conjunctive_role_lists": SQL_P5,
     "p6_split_dataset": SQL_P6,
     "p7_excluded_models": SQL_P7,
+    "c12_sentence_kinds": SQL_KINDS,
     "p9_fragment_lookup": SQL_P9,
     "c2_term_counts": SQL_C2,
     "c3_tfidf_weights": SQL_C3,
     "c4_c12_c14_bernoulli_predictions": SQL_C4,
     "c5_multinomial_predictions": SQL_C5,
     "c13_classification_report": SQL_C13,
+    "c6_nearest_neighbours": SQL_NEAR,
+    "c6_knn_predictions": SQL_KNN,
 }

@@ -16,27 +16,22 @@ from ..operators import extract as X
 from ..operators.rules import RULES, RULES_BY_ID, rule_hits
 from . import fixtures as FX
 from .sql_annotate import annotate_ctes
-from .sql_model import (assemble_ctes, class_scores_sql, part_truth_pred_ctes, PART_FIXTURE, rel_scores_sql,
-                        size_similarity_sql, summary_sql)
-from .prep_plans import PREP_ORACLE, PREP_QUERIES
+from .sql_model import (assemble_ctes, class_scores_sql, equality_sql, flat, PART_FIXTURE, part_truth_pred_ctes,
+                        rel_scores_sql, signature_scores_sql, size_similarity_sql, summary_sql)
+from ..operators.assemble import flat as flat_rows
+from .prep_plans import kinds_ctes, PREP_ORACLE, PREP_QUERIES
 from .sql_rules import all_hits_ctes, priority_values, rule_ctes
 
-CORPUS_SQL = "SELECT doc_id, text, source FROM documents WHERE lang = 'en'"
-# rules without a match on the invented corpus keep literal tests only
-VOLUME_RULES = ["R1", "R2", "R3", "R4", "R5", "R8", "R9", "R10", "R12", "R13", "R14", "R15", "R16", "R17"]
+CORPUS_SQL = "SELECT doc_id, text, source FROM documents"
 
 
 def _ann() -> str:
     return "WITH RECURSIVE " + annotate_ctes(CORPUS_SQL)
 
 
-KINDS_SQL = """kinds AS (SELECT doc_id, sent_id, CASE WHEN sent_id % 2 = 0 THEN 'class' ELSE 'rel' END AS kind
-                FROM sents)"""
-
-
 def _best_ctes() -> str:
     return f"""{all_hits_ctes()},
-{KINDS_SQL},
+{kinds_ctes()},
 disp AS (SELECT h.* FROM all_hits h JOIN kinds k ON k.doc_id = h.doc_id AND k.sent_id = h.sent_id
          WHERE h.kind = k.kind),
 best AS (SELECT doc_id, sent_id, rule, kind, cls, attr1, attr2, attr3, attr_type, src, dst, mult, rel_name,
@@ -48,7 +43,7 @@ best AS (SELECT doc_id, sent_id, rule, kind, cls, attr1, attr2, attr3, attr_type
 
 def _doc_fragment_ctes() -> str:
     return f"""{_best_ctes()},
-bm AS (SELECT b.*, c.source AS model, CAST(b.doc_id AS BIGINT) * {X.SEQ_STRIDE} + b.sent_id AS seq
+bm AS (SELECT b.*, c.source AS model, {{'doc_id': b.doc_id, 'sent_id': b.sent_id}} AS seq
        FROM best b JOIN corpus c ON c.doc_id = b.doc_id),
 d_fc AS (SELECT model, seq, 0 AS class_pos, cls AS class_name, kind FROM bm WHERE kind = 'class'
          UNION ALL SELECT model, seq, 0 AS class_pos, src AS class_name, kind FROM bm WHERE kind = 'rel'
@@ -64,7 +59,7 @@ d_fr AS (SELECT model, seq, src, dst, mult, rel_name FROM bm WHERE kind = 'rel')
 # ---- Spark side ---------------------------------------------------------------
 
 def q_sentences(spark, sf):  # T1 step 1
-    return A.sentences(FX.english_corpus(spark, sf))
+    return A.sentences(FX.corpus(spark, sf))
 
 
 def q_tokens(spark, sf):  # T1 + T2 + T8
@@ -90,31 +85,32 @@ def q_coverage(spark, sf):  # R21
 
 
 def q_doc_rels(spark, sf):  # minimum slice: documents -> rules -> A7 / A10
-    return FX.doc_model(spark, sf)[2]
+    return flat_rows(FX.doc_model(spark, sf)[2])
 
 
 def q_doc_classes(spark, sf):
-    return FX.doc_model(spark, sf)[0]
+    return flat_rows(FX.doc_model(spark, sf)[0])
 
 
 def q_doc_attributes(spark, sf):
-    return FX.doc_model(spark, sf)[1]
+    return flat_rows(FX.doc_model(spark, sf)[1])
 
 
 def q_part_classes(spark, sf):  # A1-A4, A7, A9
-    return FX.part_model(spark, sf)[0]
+    return flat_rows(FX.part_model(spark, sf)[0])
 
 
 def q_part_attributes(spark, sf):  # A5, A6
-    return FX.part_model(spark, sf)[1]
+    return flat_rows(FX.part_model(spark, sf)[1])
 
 
 def q_part_rels(spark, sf):  # A6, A7, A10
-    return FX.part_model(spark, sf)[2]
+    return flat_rows(FX.part_model(spark, sf)[2])
 
 
 def _truth_pred(spark, sf):
-    return FX.part_model(spark, sf, 4), FX.part_model(spark, sf, 5)
+    m = FX.sided_models(spark, sf)
+    return m["truth"], m["prediction"]
 
 
 def q_class_scores(spark, sf):  # E1 + E2
@@ -147,11 +143,64 @@ def q_integrity(spark, sf):  # E10 (finds nothing after A9 / A10)
     return E.integrity_violations(c, r)
 
 
+def q_fragment_integrity(spark, sf):  # E10 on fragments as they are, which repeat each other
+    fc, _, fr = FX.part_fragments(spark, sf)
+    return E.integrity_violations(fc, fr)
+
+
+def q_pairing(spark, sf):  # E1
+    (tc, _, _), (pc, _, _) = _truth_pred(spark, sf)
+    return E.pairing(pc, tc)
+
+
+def q_signatures(typed: bool):  # E3, E4
+    def q(spark, sf):
+        (tc, ta, _), (pc, pa, _) = _truth_pred(spark, sf)
+        return E.signature_scores(pc, pa, tc, ta, typed)
+    return q
+
+
+def q_equality(spark, sf):  # E12
+    truth, pred = _truth_pred(spark, sf)
+    return E.structural_equality(pred, truth)
+
+
+def q_assembly_report(spark, sf):  # E15
+    return E.assembly_report(q_equality(spark, sf))
+
+
+def q_degrees(spark, sf):  # E16
+    c, _, r = FX.part_model(spark, sf)
+    return E.graph_degrees(c, r)
+
+
+def q_semantics(spark, sf):  # E13: what the original's priorities choose against what the mended ones choose
+    return E.semantic_comparison(FX.doc_fragments(spark, sf, compat=True), FX.doc_fragments(spark, sf),
+                                 ["model", "seq"]).select("model", "seq.doc_id", "seq.sent_id", "same")
+
+
+def q_semantics_status(spark, sf):  # E14, lists
+    same = q_semantics(spark, sf).drop("model")
+    return E.semantics_status(FX.sentence_kinds(spark, sf), same, ["doc_id", "sent_id"])
+
+
+def q_semantics_report(spark, sf):  # E14, counts
+    return E.semantics_report(q_semantics_status(spark, sf))
+
+
+def q_unmatched(spark, sf):  # R21
+    return X.unmatched_sentences(FX.doc_hits(spark, sf), FX.sentence_kinds(spark, sf))
+
+
+def q_class_faults(spark, sf):  # R20 (finds nothing in fragments that rules make)
+    return X.integrity(FX.doc_fragments(spark, sf)[0]).select("model", "seq.doc_id", "seq.sent_id", "kind", "n_classes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "t1_sentences": q_sentences,
     "t1_tokens": q_tokens,
     "t3_t4_t5_chunk_names": q_chunk_names,
-    **{f"{rid.lower()}_rule_hits": _rule_query(rid) for rid in VOLUME_RULES},
+    **{f"{rid.lower()}_rule_hits": _rule_query(rid) for rid in RULES_BY_ID},
     "r18_r19_selected_fragments": q_best,
     "r21_rule_coverage": q_coverage,
     "a1_doc_model_rels": q_doc_rels,
@@ -165,7 +214,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e6_rel_scores_relaxed": q_rel_relaxed,
     "e8_size_similarity": q_size_similarity,
     "e10_integrity_violations": q_integrity,
+    "e10_fragment_violations": q_fragment_integrity,
     "e11_score_summary": q_summary,
+    "e1_paired_models": q_pairing,
+    "e3_class_scores_exact": q_signatures(True),
+    "e4_class_scores_untyped": q_signatures(False),
+    "e12_structural_equality": q_equality,
+    "e13_semantic_comparison": q_semantics,
+    "e14_semantics_status": q_semantics_status,
+    "e14_semantics_report": q_semantics_report,
+    "e15_assembly_report": q_assembly_report,
+    "e16_graph_degrees": q_degrees,
+    "r20_fragment_integrity": q_class_faults,
+    "r21_unmatched_sentences": q_unmatched,
     **PREP_QUERIES,
 }
 
@@ -180,7 +241,7 @@ def _coverage_sql() -> str:
     vals = ", ".join(f"('{r.rid}', '{r.kind}')" for r in RULES)
     return f"""{_ann()},
 {all_hits_ctes()},
-{KINDS_SQL},
+{kinds_ctes()},
 cand AS (SELECT k.doc_id, k.sent_id, k.kind, r.rule FROM kinds k JOIN (VALUES {vals}) AS r(rule, kind)
          ON r.kind = k.kind),
 hit AS (SELECT DISTINCT doc_id, sent_id, rule FROM all_hits)
@@ -189,8 +250,54 @@ FROM cand c LEFT JOIN hit h ON h.doc_id = c.doc_id AND h.sent_id = c.sent_id AND
 GROUP BY ROLLUP (c.kind, c.rule)"""
 
 
+def _unmatched_sql() -> str:
+    return f"""{_ann()},
+{all_hits_ctes()},
+{kinds_ctes()}
+SELECT * FROM kinds k WHERE NOT EXISTS (SELECT 1 FROM all_hits h WHERE h.doc_id = k.doc_id AND h.sent_id = k.sent_id
+                                        AND h.kind = k.kind)"""
+
+
+def _same_ctes() -> str:
+    """``same``: sentences whose choice by the original's priorities (nothing that is unlisted, where there is more than
+    one) means the same as the mended choice; the fragments of a sentence compared by columns."""
+    both = "c.kind = b.kind AND (c.kind <> 'class' OR (lower(c.cls) = lower(b.cls) AND {a})) AND (c.kind <> 'rel' OR {r})"
+    a = " AND ".join(f"c.attr{i} IS NOT DISTINCT FROM b.attr{i}" for i in (1, 2, 3))
+    r = ("lower(c.src) = lower(b.src) AND lower(c.dst) = lower(b.dst) AND c.dst = b.dst AND c.mult = b.mult "
+         "AND c.rel_name = b.rel_name")
+    return f"""{_best_ctes()},
+comp AS (SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY d.doc_id, d.sent_id ORDER BY pr.priority NULLS LAST, d.rule) AS rk
+         FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, sent_id) AS n FROM disp) d
+         LEFT JOIN {priority_values(True)} ON pr.rule = d.rule WHERE d.n = 1 OR pr.priority IS NOT NULL) WHERE rk = 1),
+same AS (SELECT q.source AS model, b.doc_id, b.sent_id, {both.format(a=a, r=r)} AS same
+         FROM best b JOIN comp c ON c.doc_id = b.doc_id AND c.sent_id = b.sent_id JOIN corpus q ON q.doc_id = b.doc_id),
+status AS (SELECT k.doc_id, k.sent_id, k.kind,
+             CASE WHEN s.same IS NULL THEN 'failed' WHEN s.same THEN 'passed' ELSE 'wrong' END AS status
+           FROM kinds k LEFT JOIN same s ON s.doc_id = k.doc_id AND s.sent_id = k.sent_id)"""
+
+
+_DEGREES_SQL = f"""WITH {PART_FIXTURE},
+{assemble_ctes('a_', 'all_fc', 'all_fa', 'all_fr')},
+e AS (SELECT model, src AS class_name FROM a_model_rels UNION ALL
+      SELECT model, dst FROM a_model_rels WHERE dst <> src)
+SELECT c.model, c.class_name, count(e.class_name) AS degree
+FROM a_model_classes c LEFT JOIN e ON e.model = c.model AND e.class_name = c.class_name GROUP BY ALL"""
+
+_FRAGMENT_FAULTS_SQL = f"""WITH {PART_FIXTURE}
+SELECT model, 'duplicate class' AS violation, class_name AS item, count(*) AS n FROM all_fc
+GROUP BY model, class_name HAVING count(*) > 1
+UNION ALL
+SELECT model, 'duplicate association', concat_ws(' ', src, dst, mult, rel_name), count(*)
+FROM all_fr GROUP BY model, src, dst, mult, rel_name HAVING count(*) > 1"""
+
+_PAIRING_SQL = f"""WITH {part_truth_pred_ctes()}
+SELECT model, coalesce(p.n, 0) AS n_pred, coalesce(t.n, 0) AS n_true
+FROM (SELECT model, count(*) AS n FROM p_model_classes GROUP BY model) p
+FULL JOIN (SELECT model, count(*) AS n FROM t_model_classes GROUP BY model) t USING (model)"""
+
+
 def _part_sql(table: str) -> str:
-    return f"WITH {PART_FIXTURE},\n{assemble_ctes('a_', 'all_fc', 'all_fa', 'all_fr')}\nSELECT * FROM a_{table}"
+    return f"WITH {PART_FIXTURE},\n{assemble_ctes('a_', 'all_fc', 'all_fa', 'all_fr')}\n{flat('a_' + table, 'major', 'minor')}"
 
 
 def _integrity_sql() -> str:
@@ -207,12 +314,12 @@ ORACLE: dict[str, str] = {
     "t1_sentences": f"{_ann()}\nSELECT doc_id, sent_id, sentence FROM sents",
     "t1_tokens": f"{_ann()}\nSELECT * FROM toks",
     "t3_t4_t5_chunk_names": f"{_ann()}\nSELECT * FROM chunk_names",
-    **{f"{rid.lower()}_rule_hits": _rule_sql(rid) for rid in VOLUME_RULES},
+    **{f"{rid.lower()}_rule_hits": _rule_sql(rid) for rid in RULES_BY_ID},
     "r18_r19_selected_fragments": f"{_ann()},\n{_best_ctes()}\nSELECT * FROM best",
     "r21_rule_coverage": _coverage_sql(),
-    "a1_doc_model_rels": f"{_ann()},\n{_doc_fragment_ctes()}\nSELECT * FROM d_model_rels",
-    "a1_doc_model_classes": f"{_ann()},\n{_doc_fragment_ctes()}\nSELECT * FROM d_model_classes",
-    "a1_doc_model_attributes": f"{_ann()},\n{_doc_fragment_ctes()}\nSELECT * FROM d_model_attributes",
+    "a1_doc_model_rels": f"{_ann()},\n{_doc_fragment_ctes()}\n{flat('d_model_rels', 'doc_id', 'sent_id')}",
+    "a1_doc_model_classes": f"{_ann()},\n{_doc_fragment_ctes()}\n{flat('d_model_classes', 'doc_id', 'sent_id')}",
+    "a1_doc_model_attributes": f"{_ann()},\n{_doc_fragment_ctes()}\n{flat('d_model_attributes', 'doc_id', 'sent_id')}",
     "a1_part_model_classes": _part_sql("model_classes"),
     "a5_a6_part_model_attributes": _part_sql("model_attributes"),
     "a7_a10_part_model_rels": _part_sql("model_rels"),
@@ -221,7 +328,22 @@ ORACLE: dict[str, str] = {
     "e6_rel_scores_relaxed": rel_scores_sql(True),
     "e8_size_similarity": size_similarity_sql(),
     "e10_integrity_violations": _integrity_sql(),
+    "e10_fragment_violations": _FRAGMENT_FAULTS_SQL,
     "e11_score_summary": summary_sql(),
+    "e1_paired_models": _PAIRING_SQL,
+    "e3_class_scores_exact": signature_scores_sql(True),
+    "e4_class_scores_untyped": signature_scores_sql(False),
+    "e12_structural_equality": equality_sql(),
+    "e13_semantic_comparison": f"{_ann()},\n{_same_ctes()}\nSELECT * FROM same",
+    "e14_semantics_status": f"{_ann()},\n{_same_ctes()}\nSELECT * FROM status",
+    "e14_semantics_report": f"{_ann()},\n{_same_ctes()}\nSELECT kind, status, count(*) AS n FROM status GROUP BY CUBE (kind, status)",
+    "e15_assembly_report": f"SELECT model, CASE WHEN equal THEN 'passed' ELSE 'failed' END AS status, n_pred, n_true "
+                           f"FROM ({equality_sql()})",
+    "e16_graph_degrees": _DEGREES_SQL,
+    "r20_fragment_integrity": f"""{_ann()},\n{_doc_fragment_ctes()}
+SELECT model, seq.doc_id AS doc_id, seq.sent_id AS sent_id, kind, count(*) AS n_classes FROM d_fc
+GROUP BY ALL HAVING count(*) <> CASE kind WHEN 'class' THEN 1 ELSE 2 END""",
+    "r21_unmatched_sentences": _unmatched_sql(),
     **PREP_ORACLE,
 }
 

@@ -7,7 +7,7 @@ chain with a loop of joins, so the two sides are computed differently.
 
 from __future__ import annotations
 
-from ..functions.lexicon import CLASS_PRIORITY, REL_PRIORITY
+from ..functions.lexicon import CLASS_PRIORITY, CLASS_PRIORITY_COMPAT, REL_PRIORITY, REL_PRIORITY_COMPAT
 from ..operators.rules import RULES, Rule
 
 
@@ -116,7 +116,7 @@ def all_hits_ctes(rules=None) -> str:
     return body + f",\nall_hits AS ({union})"
 
 
-def priority_values() -> str:
-    rows = [f"('{r}', {i})" for i, r in enumerate(CLASS_PRIORITY)] + \
-           [f"('{r}', {i})" for i, r in enumerate(REL_PRIORITY)]
+def priority_values(compat: bool = False) -> str:
+    lists = (CLASS_PRIORITY_COMPAT, REL_PRIORITY_COMPAT) if compat else (CLASS_PRIORITY, REL_PRIORITY)
+    rows = [f"('{r}', {i})" for own in lists for i, r in enumerate(own)]
     return f"(VALUES {', '.join(rows)}) AS pr(rule, priority)"

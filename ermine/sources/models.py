@@ -6,6 +6,8 @@ All readers take explicit schemas; model files become the three flat tables
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,7 +60,7 @@ def read_json_models(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     # Package wrapper -> inner elements, else the bare list
     bare = F.transform("elements", lambda e: e.dropFields("elements"))
     elems = F.when(first["type"].isNotNull() & first["elements"].isNotNull(), first["elements"]).otherwise(bare)
-    e = raw.select("model", F.posexplode(elems).alias("pos", "e"))
+    e = raw.select("model", F.size(elems).alias("n_elems"), F.posexplode(elems).alias("pos", "e"))
     declared = e.filter(F.col("e.name").isNotNull()).select("model", F.col("pos").alias("class_pos"),
                                                             F.col("e.name").alias("class_name"), "e.members")
     attributes = declared.select("model", "class_name", F.posexplode_outer("members").alias("attr_pos", "m")) \
@@ -67,13 +69,13 @@ def read_json_models(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
                 F.col("m.type").alias("attr_type"))
     rels = e.filter(F.col("e.name").isNull() & F.col("e.left").isNotNull()).select(
         "model", F.col("pos").alias("rel_pos"), F.col("e.left").alias("src"), F.col("e.right").alias("dst"),
-        F.col("e.leftCardinality").alias("card"))
+        F.col("e.leftCardinality").alias("card"), "n_elems")
     # S3d: cardinality split
     words = F.when(F.trim(F.coalesce("card", F.lit(""))) == "", F.array().cast("array<string>")) \
         .otherwise(F.split(F.trim("card"), r"\s+"))
     n = F.size(words)
     w0 = F.element_at(words, 1)
-    alpha = w0.rlike("^[A-Za-z]+$")
+    alpha = w0.rlike(r"^\p{L}+$")
     rels = rels.withColumns({
         "rel_name": F.when(n == 0, "").when(n == 1, F.when(alpha, w0).otherwise(""))
         .when(n == 2, w0),
@@ -82,56 +84,55 @@ def read_json_models(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     })
     rejected = rels.filter(F.col("rel_name").isNull()).select("model", "rel_pos", F.col("card").alias(
         "leftCardinality"))
-    relations = rels.filter(F.col("rel_name").isNotNull()).select("model", "rel_pos", "src", "dst", "mult",
-                                                                  "rel_name")
+    relations = rels.filter(F.col("rel_name").isNotNull())
     # Endpoints not declared as classes become classes, after the declared ones, in order
-    ends = relations.select("model", F.col("rel_pos").alias("p"), F.lit(0).alias("side"),
-                            F.col("src").alias("class_name")).unionByName(
-        relations.select("model", F.col("rel_pos").alias("p"), F.lit(1).alias("side"),
-                         F.col("dst").alias("class_name")))
-    implied = (ends.join(declared.select("model", "class_name"), ["model", "class_name"], "left_anti")
-               .groupBy("model", "class_name").agg(F.min(F.struct("p", "side")).alias("o"))
-               .select("model", (F.lit(1 << 20) + F.col("o.p") * 2 + F.col("o.side")).alias("class_pos"),
-                       "class_name"))
+    place = F.col("n_elems") + F.col("rel_pos") * 2   # a relation stands at a place below the number of elements
+    ends = relations.select("model", F.explode(F.array(
+        F.struct(F.col("src").alias("class_name"), place.alias("o")),
+        F.struct(F.col("dst").alias("class_name"), (place + 1).alias("o")))).alias("x"))
+    implied = (ends.groupBy("model", "x.class_name").agg(F.min("x.o").alias("class_pos"))
+               .join(declared.select("model", "class_name"), ["model", "class_name"], "left_anti")
+               .select("model", "class_pos", "class_name"))
     classes = declared.select("model", "class_pos", "class_name").unionByName(implied)
-    return classes, attributes, relations, rejected
+    return classes, attributes, relations.drop("card", "n_elems"), rejected
 
 
 def plantuml_lines(classes: DataFrame, attributes: DataFrame, rels: DataFrame, theme: str = "plain") -> DataFrame:
-    """S7 rows: (model, k1, k2, k3, line) with a sort key; one block per class then its associations."""
+    """S7 rows: (model, k0, k1, k2, k3, line) with a sort key; one block per class then its associations."""
     head = classes.select("model").distinct()
     arrow = F.coalesce(*[F.when(F.col("mult") == code, F.lit(a)) for code, a in MULT_ARROWS], F.lit("-->"))
-    cls_order = classes.select("model", "class_name", F.col("first_ord").alias("k1"))
+    block = classes.select("model", "class_name", F.col("first_ord").alias("k1"))
+    order_type = classes.schema["first_ord"].dataType
+
+    def at(k0: int, k2: int, k1=None, k3=None):
+        none = F.lit(None)
+        return [F.lit(k0).alias("k0"), (none.cast(order_type) if k1 is None else k1).alias("k1"), F.lit(k2).alias("k2"),
+                (none.cast(order_type) if k3 is None else k3.cast(order_type)).alias("k3")]
+
+    def own(k2: int, line):
+        return block.select("model", *at(1, k2, F.col("k1")), line.alias("line"))
+
+    arrows = F.concat(F.col("src"), F.lit(" "), arrow, F.lit(" "), F.col("dst"),
+                      F.when(F.col("rel_name") != "", F.concat(F.lit(" : "), F.col("rel_name"))).otherwise(F.lit("")))
+    typed = F.when(F.col("attr_type").isNull(), F.col("attr_name")).otherwise(F.concat_ws(" : ", "attr_name", "attr_type"))
     lines = [
-        head.select("model", F.lit(-2).cast("long").alias("k1"), F.lit(0).alias("k2"), F.lit(0).cast("long").alias("k3"),
-                    F.lit("@startuml").alias("line")),
-        head.select("model", F.lit(-1).cast("long").alias("k1"), F.lit(0).alias("k2"), F.lit(0).cast("long").alias("k3"),
-                    F.lit(f"!theme {theme}").alias("line")),
-        cls_order.select("model", "k1", F.lit(0).alias("k2"), F.lit(0).cast("long").alias("k3"),
-                         F.concat(F.lit("class "), F.col("class_name")).alias("line")),
-        cls_order.select("model", "k1", F.lit(1).alias("k2"), F.lit(0).cast("long").alias("k3"), F.lit("{").alias("line")),
-        attributes.join(cls_order, ["model", "class_name"]).select(
-            "model", "k1", F.lit(2).alias("k2"), F.col("first_ord").cast("long").alias("k3"),
-            F.when(F.col("attr_type").isNull(), F.col("attr_name"))
-            .otherwise(F.concat_ws(" : ", "attr_name", "attr_type")).alias("line")),
-        cls_order.select("model", "k1", F.lit(3).alias("k2"), F.lit(0).cast("long").alias("k3"), F.lit("}").alias("line")),
-        rels.join(cls_order.withColumnRenamed("class_name", "src"), ["model", "src"]).select(
-            "model", "k1", F.lit(4).alias("k2"), F.col("first_ord").cast("long").alias("k3"),
-            F.concat(F.col("src"), F.lit(" "), arrow, F.lit(" "), F.col("dst"),
-                     F.when(F.col("rel_name") != "", F.concat(F.lit(" : "), F.col("rel_name")))
-                     .otherwise(F.lit(""))).alias("line")),
-        head.select("model", F.lit((1 << 62)).cast("long").alias("k1"), F.lit(0).alias("k2"),
-                    F.lit(0).cast("long").alias("k3"), F.lit("@enduml").alias("line")),
+        head.select("model", *at(0, 0), F.lit("@startuml").alias("line")),
+        head.select("model", *at(0, 1), F.lit(f"!theme {theme}").alias("line")),
+        own(0, F.concat(F.lit("class "), F.col("class_name"))),
+        own(1, F.lit("{")),
+        attributes.join(block, ["model", "class_name"]).select(
+            "model", *at(1, 2, F.col("k1"), F.col("first_ord")), typed.alias("line")),
+        own(3, F.lit("}")),
+        rels.join(block.withColumnRenamed("class_name", "src"), ["model", "src"]).select(
+            "model", *at(1, 4, F.col("k1"), F.col("first_ord")), arrows.alias("line")),
+        head.select("model", *at(2, 0), F.lit("@enduml").alias("line")),
     ]
-    out = lines[0]
-    for x in lines[1:]:
-        out = out.unionByName(x)
-    return out
+    return reduce(DataFrame.unionByName, lines)
 
 
 def write_plantuml(lines: DataFrame, path: str) -> None:
     """S7 sink: one text file set, rows ordered by (model, sort key); partitioned by model."""
-    (lines.repartition("model").sortWithinPartitions("model", "k1", "k2", "k3", "line")
+    (lines.repartition("model").sortWithinPartitions("model", "k0", "k1", "k2", "k3", "line")
      .select("model", "line").write.mode("overwrite").partitionBy("model").text(path))
 
 
@@ -192,7 +193,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Tables (pass / fail lists, scores, summaries) as Parquet (default), CSV or JSON."""
     w = df.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
         w.json(path)
     else:

@@ -1,60 +1,94 @@
 """Classification and assembly on Structured Streaming.
 
-X2 runs the order-resolving aggregates of assembly (A5 per class attribute, A10
-per relation key) as streaming aggregations over fragment files, in complete
-mode with an ``availableNow`` trigger.  Case-insensitive merging (A4) and
-promotion (A6) need a second grouping, so they stay a batch view over the sink.
-X1 scores new sentences per micro-batch against the static Bernoulli parameter
-tables (a stream-static join inside ``foreachBatch``).
+X2: every micro-batch of fragments is consolidated by itself, one row a key (a class, an attribute, a relation),
+and written as the batch's own folder of a state table in shared storage.  What the rows keep - the first spelling, type
+and multiplicity with the order they stood at - merges in any order, so reading the state is one more aggregate over
+the batches, then the joins of A6 and A7.  A batch that is run again overwrites its own folder: nothing counts
+twice.  Nothing passes through the driver.
+
+X1: every micro-batch of texts is scored against stored parameter tables of C4, which do not change during
+the stream, and written as its own folder likewise.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.assemble import POS_STRIDE, REL_PHASE
+from ..operators import assemble as M
+from ..operators import classify as C
 
-REL_SCHEMA = "model string, seq long, src string, dst string, mult string, rel_name string"
+CLASS_SCHEMA = "model string, seq long, class_pos int, class_name string, kind string"
 ATTR_SCHEMA = "model string, seq long, class_name string, attr_pos int, attr_name string, attr_type string"
+REL_SCHEMA = "model string, seq long, src string, dst string, mult string, rel_name string"
+
+# table -> (schema of its fragments, consolidation of a batch, merge of batches)
+TABLES = {
+    "classes": (CLASS_SCHEMA, M.canonical_classes, M.merge_classes),
+    "attributes": (ATTR_SCHEMA, M.partial_attributes, M.merge_attributes),
+    "rels": (REL_SCHEMA, M.merged_relations, M.merge_relations),
+}
 
 
-def _run_complete(df: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    q = (df.writeStream.outputMode("complete").format("memory").queryName(name)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def write_batch(rows: DataFrame, folder: str, batch: int) -> None:
+    """The rows of one batch, as its own folder; run again, they replace it."""
+    rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+
+def _drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
 
 
-def stream_relations(spark: SparkSession, rels_dir: str, checkpoint: str, name: str = "x2_rels") -> DataFrame:
-    """One relation per (model, src, dst, name); the first non-empty multiplicity wins."""
-    s = spark.readStream.schema(REL_SCHEMA).option("maxFilesPerTrigger", 1).parquet(rels_dir)
-    o = F.lit(REL_PHASE) + F.col("seq") * POS_STRIDE
-    agg = s.groupBy("model", "src", "dst", "rel_name").agg(
-        F.min_by("mult", F.when(F.col("mult") != "", o)).alias("mult"), F.min(o).alias("first_ord"))
-    out = _run_complete(agg, name, checkpoint)
-    return out.select("model", "src", "dst", "rel_name", F.coalesce("mult", F.lit("")).alias("mult"), "first_ord")
+def stream_assembly(spark: SparkSession, fragments_dir: str, state_dir: str, checkpoint: str,
+                    schemas: dict[str, str] | None = None, max_files: int = 100) -> None:
+    """Takes what is new in ``fragments_dir/{classes,attributes,rels}`` into the state tables.
 
+    ``schemas`` replaces the schema of a table, for a ``seq`` or ``model`` of another type.
+    """
+    for name, (schema, consolidate, _) in TABLES.items():
+        s = (spark.readStream.schema((schemas or {}).get(name, schema)).option("maxFilesPerTrigger", max_files)
+             .parquet(f"{fragments_dir}/{name}"))
 
-def stream_attributes(spark: SparkSession, attrs_dir: str, checkpoint: str, name: str = "x2_attrs") -> DataFrame:
-    """Per (model, lower(class), attribute) the first non-null type."""
-    s = spark.readStream.schema(ATTR_SCHEMA).option("maxFilesPerTrigger", 1).parquet(attrs_dir)
-    o = F.col("seq") * POS_STRIDE + F.col("attr_pos")
-    agg = s.groupBy("model", F.lower("class_name").alias("lname"), "attr_name").agg(
-        F.min_by("attr_type", F.when(F.col("attr_type").isNotNull(), F.struct("seq", "attr_pos"))).alias("attr_type"),
-        F.min(o).alias("first_ord"))
-    return _run_complete(agg, name, checkpoint)
+        def each(batch: DataFrame, number: int, name=name, consolidate=consolidate) -> None:
+            write_batch(consolidate(batch), f"{state_dir}/{name}", number)
 
+        _drain(s, each, f"{checkpoint}/{name}")
 
-def stream_classify(spark: SparkSession, text_dir: str, schema: str, score_batch, sink_dir: str,
-                    checkpoint: str) -> None:
-    """Each micro-batch of (doc_id, text) rows is scored by ``score_batch(batch_df) -> DataFrame``
-    (e.g. term counts + the static parameter tables of ``classify.bernoulli_nb``) and appended."""
-    s = spark.readStream.schema(schema).parquet(text_dir)
 
-    def each(batch: DataFrame, epoch: int):
-        score_batch(batch).write.mode("append").parquet(sink_dir)
+def _state(spark: SparkSession, state_dir: str, name: str) -> DataFrame:
+    return TABLES[name][2](spark.read.option("basePath", f"{state_dir}/{name}").parquet(f"{state_dir}/{name}/batch=*"))
 
-    q = (s.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+
+def read_assembly(spark: SparkSession, state_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The model tables (A1) of all fragments taken in so far."""
+    canon, attrs, rels = (_state(spark, state_dir, name) for name in TABLES)
+    return M.consolidate(canon, M.owned(attrs, canon), rels)
+
+
+def compact(spark: SparkSession, state_dir: str, new_dir: str) -> None:
+    """The state merged into one batch of another folder, for streams that go on there with the same checkpoint.
+
+    It stands as batch -1, so no batch of the stream replaces it."""
+    for name in TABLES:
+        write_batch(_state(spark, state_dir, name), f"{new_dir}/{name}", -1)
+
+
+def stream_classify(spark: SparkSession, text_dir: str, model_dir: str, sink_dir: str, checkpoint: str,
+                    schema: str = "doc_id long, text string", max_files: int = 100) -> None:
+    """The kind of every new text, by the saved Bernoulli model; ``sink_dir`` gets (doc_id, prediction, score)."""
+    base, params = C.load_bernoulli(spark, model_dir)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(text_dir)
+
+    def each(batch: DataFrame, number: int) -> None:
+        scores = C.bernoulli_score(base, params, C.term_counts(batch), batch.select("doc_id"))
+        write_batch(C.predict(scores), sink_dir, number)
+
+    _drain(s, each, checkpoint)
+
+
+def read_predictions(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """What the stream has predicted so far."""
+    return spark.read.parquet(f"{sink_dir}/batch=*").select("doc_id", "prediction", F.col("score"))
