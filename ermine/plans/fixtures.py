@@ -5,6 +5,8 @@ Everything reads whole tables from ``sf_dir`` (or data Spark derives from them).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ from ..operators import annotate as A
 from ..operators import assemble as M
 from ..operators import classify as C
 from ..operators import extract as X
-from ..session import cut_lineage
+from ..session import checkpoint_dir, cut_lineage
+from ..sources.ecore import ecore_text
+from ..sources.models import write_plantuml
 
 # Stage outputs read by several queries are written once, as Parquet, into ``spark.checkpoint.dir``:
 # the plan downstream starts from a flat scan (the annotation and 17 rule plans are not
@@ -135,6 +139,16 @@ def part_model(spark: SparkSession, sf_dir: str):
     return M.assemble(*part_fragments(spark, sf_dir))
 
 
+def ecore_files(spark: SparkSession, sf_dir: str) -> str:
+    """The part models as Ecore files, one a brand, in the shared folder."""
+    key = ("ecore", id(spark), sf_dir)
+    if key not in _CACHE:
+        path = f"{checkpoint_dir(spark)}/ecore-{uuid.uuid4().hex}"
+        write_plantuml(ecore_text(*part_model(spark, sf_dir)), path)
+        _CACHE[key] = path
+    return _CACHE[key]
+
+
 # ---- truth and prediction: the same fragments, all of them, and an altered copy ------------------
 
 MOVED, ADDED = "Brand#7", "Brand#0"   # a model only the truth has, and one only the prediction has

@@ -6,14 +6,19 @@ Keys carry the SURVEY operator ids.  Every query reads whole tables from
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import annotate as A
+from ..operators import corpus as P
 from ..operators import evaluate as E
 from ..operators import extract as X
 from ..operators.rules import RULES, RULES_BY_ID, rule_hits
+from ..session import checkpoint_dir
+from ..sources.ecore import ecore_lines, last_reference, read_ecore
+from ..sources.models import read_plantuml, write_plantuml
 from . import fixtures as FX
 from .sql_annotate import annotate_ctes
 from .sql_model import (assemble_ctes, class_scores_sql, equality_sql, flat, PART_FIXTURE, part_truth_pred_ctes,
@@ -196,6 +201,27 @@ def q_class_faults(spark, sf):  # R20 (finds nothing in fragments that rules mak
     return X.integrity(FX.doc_fragments(spark, sf)[0]).select("model", "seq.doc_id", "seq.sent_id", "kind", "n_classes")
 
 
+def _ecore(i: int, *columns: str):  # S4: the part models, written and read back
+    def q(spark, sf):
+        return read_ecore(spark, FX.ecore_files(spark, sf))[i].select("model", *columns)
+    return q
+
+
+def q_ecore_last(spark, sf):  # S4a
+    return last_reference(read_ecore(spark, FX.ecore_files(spark, sf))[2]).select("model", "src", "dst", "mult", "rel_name")
+
+
+def q_ecore_diagrams(spark, sf):  # S8, read back by S5
+    path = f"{checkpoint_dir(spark)}/diagrams-{uuid.uuid4().hex}"
+    write_plantuml(ecore_lines(spark, FX.ecore_files(spark, sf)), path)
+    return read_plantuml(spark, path)[2].select("model", "src", "dst", "mult", "rel_name")
+
+
+def q_fragment_names(spark, sf):  # P8
+    c, _, r = FX.part_model(spark, sf)
+    return P.fragment_names(c, r)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "t1_sentences": q_sentences,
     "t1_tokens": q_tokens,
@@ -226,6 +252,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e15_assembly_report": q_assembly_report,
     "e16_graph_degrees": q_degrees,
     "r20_fragment_integrity": q_class_faults,
+    "s4_ecore_classes": _ecore(0, "class_pos", "class_name"),
+    "s4_ecore_attributes": _ecore(1, "class_name", "attr_name", "attr_type"),
+    "s4_ecore_references": _ecore(2, "src", "dst", "mult", "rel_name"),
+    "s4a_ecore_last_reference": q_ecore_last,
+    "s8_ecore_diagram_relations": q_ecore_diagrams,
+    "p8_fragment_names": q_fragment_names,
     "r21_unmatched_sentences": q_unmatched,
     **PREP_QUERIES,
 }
@@ -296,8 +328,12 @@ FROM (SELECT model, count(*) AS n FROM p_model_classes GROUP BY model) p
 FULL JOIN (SELECT model, count(*) AS n FROM t_model_classes GROUP BY model) t USING (model)"""
 
 
-def _part_sql(table: str) -> str:
-    return f"WITH {PART_FIXTURE},\n{assemble_ctes('a_', 'all_fc', 'all_fa', 'all_fr')}\n{flat('a_' + table, 'major', 'minor')}"
+_REFERENCES = ("SELECT model, src, dst, CASE mult WHEN '' THEN '0..1' ELSE mult END AS mult, rel_name FROM a_model_rels")
+
+
+def _part_sql(table: str, select: str | None = None) -> str:
+    select = select or flat("a_" + table, "major", "minor")
+    return f"WITH {PART_FIXTURE},\n{assemble_ctes('a_', 'all_fc', 'all_fa', 'all_fr')}\n{select}"
 
 
 def _integrity_sql() -> str:
@@ -344,6 +380,19 @@ ORACLE: dict[str, str] = {
 SELECT model, seq.doc_id AS doc_id, seq.sent_id AS sent_id, kind, count(*) AS n_classes FROM d_fc
 GROUP BY ALL HAVING count(*) <> CASE kind WHEN 'class' THEN 1 ELSE 2 END""",
     "r21_unmatched_sentences": _unmatched_sql(),
+    "s4_ecore_classes": _part_sql("model_classes", "SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY o) - 1 "
+                                  "AS INTEGER) AS class_pos, class_name FROM a_model_classes"),
+    "s4_ecore_attributes": _part_sql("model_attributes", "SELECT model, class_name, attr_name, attr_type FROM a_model_attributes"),
+    "s4_ecore_references": _part_sql("model_rels", _REFERENCES),
+    "s4a_ecore_last_reference": _part_sql("model_rels", f"""SELECT r.* FROM ({_REFERENCES}) r JOIN (
+  SELECT r.model, arg_max({{'s': r.src, 'd': r.dst, 'n': r.rel_name}}, {{'c': c.o, 'r': r.o}}) AS k FROM a_model_rels r
+  JOIN a_model_classes c ON c.model = r.model AND c.class_name = r.src GROUP BY ALL) l
+  ON l.model = r.model AND l.k.s = r.src AND l.k.d = r.dst AND l.k.n = r.rel_name"""),
+    "s8_ecore_diagram_relations": _part_sql("model_rels", _REFERENCES),
+    "p8_fragment_names": _part_sql("model_rels", """SELECT model, kind, item,
+  printf('%s_%s%d', model, kind, row_number() OVER (PARTITION BY model, kind ORDER BY o, item)) AS fragment
+FROM (SELECT model, 'class' AS kind, o, class_name AS item FROM a_model_classes
+      UNION ALL SELECT model, 'rel', o, concat_ws(' ', src, dst, rel_name) FROM a_model_rels)"""),
     **PREP_ORACLE,
 }
 

@@ -137,11 +137,12 @@ def write_plantuml(lines: DataFrame, path: str) -> None:
 
 
 def read_plantuml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The line subset written by S7 -> (classes, attributes, relations).
+    """The lines written by S7 and S8 -> (classes, attributes, relations).
 
     Positions are line numbers: a file's lines in the order of its blocks, then as read within a block.  The
-    enclosing class of an attribute is the last ``class X`` line above it (a running last-non-null window per file).
-    An attribute line ``name : `` has the empty type, one without `` : `` none.
+    enclosing class of an attribute is the last class line above it (a running last-non-null window per file).
+    An attribute line ``name : `` has the empty type, one without `` : `` none.  A reference with labels at both ends is
+    a relation each way.  Packages, enums, data types and super types give no rows.
     """
     # ``model`` comes from partition discovery of the S7 layout (names unescaped), as text: 007 is not 7
     scan = spark.read.schema("value string, model string").text(path)
@@ -152,27 +153,35 @@ def read_plantuml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     line = F.trim("value")
     order = W.partitionBy("_path").orderBy("_block", "_read")
     w = order.rowsBetween(W.unboundedPreceding, 0)
-    cls = F.regexp_extract(line, r"^class\s+(\S+)$", 1)
+    head = r"^(?:class|interface)\s+(\S+?)(\s*\{)?$"
+    cls = F.regexp_extract(line, head, 1)
+    opens = (line == "{") | (cls != "") & line.endswith("{")
     t = raw.select("model", F.row_number().over(order).cast("long").alias("ln"), line.alias("line"),
-                   F.ltrim("value").alias("full"),
-                   F.last(F.when(cls != "", cls), True).over(w).alias("owner"),
-                   F.last(F.when(line == "{", F.lit(True)).when(line == "}", F.lit(False)), True).over(w)
+                   F.regexp_replace("value", r"^\s+", "").alias("full"), cls.alias("cls"),
+                   F.last(F.when(cls != "", cls), True).over(w).alias("owner"), opens.alias("opens"),
+                   F.last(F.when(opens, F.lit(True)).when((line == "}") | line.rlike(r"^enum\s"), F.lit(False)), True).over(w)
                    .alias("inside"))
-    classes = t.filter(F.col("line").rlike(r"^class\s+\S+$")).select(
-        "model", F.col("ln").alias("class_pos"), F.regexp_extract("line", r"^class\s+(\S+)$", 1).alias("class_name"))
-    body = t.filter(F.col("inside") & ~F.col("line").isin("{", "}"))
+    classes = t.filter(F.col("cls") != "").select("model", F.col("ln").alias("class_pos"), F.col("cls").alias("class_name"))
+    body = t.filter(F.col("inside") & ~F.col("opens"))
     attributes = body.select("model", F.col("owner").alias("class_name"), F.col("ln").alias("attr_pos"),
                              F.substring_index("full", " : ", 1).alias("attr_name"),
                              F.when(F.col("full").contains(" : "),
                                     F.regexp_extract("full", r"^.*? : (.*)$", 1)).alias("attr_type"))
     rel_re = r'^(\S+)\s+(?:"(\d)"\s+)?-->(?:\s+"([\d*])")?\s+(\S+)(?:\s:\s(.*))?$'
-    r = t.filter(~F.col("inside") & F.col("line").rlike(rel_re))
+    ref_re = r'^(\S+) "([^"]*) ([^" ]+)" \*?--(?:>|\*? "([^"]*) ([^" ]+)") (\S+)$'
+    outside = t.filter(~F.coalesce("inside", F.lit(False)))
+    r = outside.filter(F.col("line").rlike(rel_re))
     lo, hi = F.regexp_extract("line", rel_re, 2), F.regexp_extract("line", rel_re, 3)
     relations = r.select("model", F.col("ln").alias("rel_pos"), F.regexp_extract("line", rel_re, 1).alias("src"),
                          F.regexp_extract("line", rel_re, 4).alias("dst"),
                          F.when(lo == "", "").otherwise(F.concat(lo, F.lit(".."), hi)).alias("mult"),
                          F.regexp_extract("line", rel_re, 5).alias("rel_name"))
-    return classes, attributes, relations
+    part = lambda i: F.regexp_extract("line", ref_re, i)
+    ends = F.array(F.struct(part(1).alias("src"), part(6).alias("dst"), part(3).alias("mult"), part(2).alias("rel_name")),
+                   F.struct(part(6).alias("src"), part(1).alias("dst"), part(5).alias("mult"), part(4).alias("rel_name")))
+    refs = outside.filter(F.col("line").rlike(ref_re) & ~F.col("line").rlike(rel_re)).select(
+        "model", F.col("ln").alias("rel_pos"), F.explode(F.when(part(5) == "", F.slice(ends, 1, 1)).otherwise(ends)).alias("x"))
+    return classes, attributes, relations.unionByName(refs.select("model", "rel_pos", "x.*"))
 
 
 def write_fragments(fc: DataFrame, fa: DataFrame, fr: DataFrame, path: str) -> None:
