@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import priority_df
 from .annotate import token_names
-from .rules import RULES, Rule, rule_hits
+from .rules import RULES, Rule
+from .rules import hits as rule_results
 
 KEY = ["doc_id", "sent_id"]
 
 
 def all_hits(tokens: DataFrame, rules: list[Rule] | None = None, names: DataFrame | None = None) -> DataFrame:
-    """Union of every rule's per-sentence result (R0d applied per rule)."""
-    rules = rules or RULES
-    names = names if names is not None else token_names(tokens)
-    return reduce(DataFrame.unionByName, [rule_hits(tokens, r, names) for r in rules])
+    """Every rule's per-sentence result (R0d applied per rule)."""
+    return rule_results(tokens, names if names is not None else token_names(tokens), rules or RULES)
 
 
 def dispatch(hits: DataFrame, sentence_kinds: DataFrame) -> DataFrame:

@@ -2,18 +2,18 @@
 
 A rule is an anchor role plus steps ``child > parent`` (direct dependent) or
 ``child >> parent`` (any descendant), each with IN / NOT_IN sets over lemma,
-part of speech and dependency label.  ``match`` turns a rule into a chain of
-equi-joins on ``(doc_id, sent_id, head = parent.tok_id)``: every join key starts
-with the token table's partitioning key, so with
-``spark.sql.requireAllClusterKeysForCoPartition=false`` the chain runs without
-re-shuffling the roles.  ``ROOT >> x`` is a plain same-sentence join (every
-token descends from the root); a descendant below a non-root role climbs the
-head chain from the few candidate tokens upward, one join per level.
+part of speech and dependency label.  All rules are matched together: one scan
+of the tokens finds who can play which role of which rule, sentences that lack a
+role of a rule drop out, and step k then joins the k-th role of every rule on
+``(rule, doc_id, sent_id, parent = head)``.  ``ROOT >> x`` is a same-sentence join
+(every token descends from the root); a descendant below a non-root role climbs
+the head chain from the few candidate tokens by pointer doubling.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ from ..session import cut_lineage
 
 KEY = ["doc_id", "sent_id"]
 NOUNS = ("NOUN", "PROPN")
+ANY = -1             # the key of a role below the root: no token has this id
 HAVE_FAMILY = ("have", "contain", "include", "comprise")
 
 
@@ -175,34 +176,89 @@ def descendant_pairs(tokens: DataFrame, cand: DataFrame) -> DataFrame:
                            .select(*KEY, "cur", F.col("next").alias("far")))
 
 
-def match(tokens: DataFrame, rule: Rule) -> DataFrame:
-    """All matches of one rule, ``(doc_id, sent_id, <role tok_id per role>)``."""
-    anchor = rule.roles[0]
-    m = tokens.filter(_role_cond(anchor)).select(*KEY, F.col("tok_id").alias(anchor.name))
-    root_roles = {anchor.name} if "ROOT" in anchor.dep and len(anchor.dep) == 1 else set()
-    for role in rule.roles[1:]:
-        cand = tokens.filter(_role_cond(role))
-        if role.op == ">":
-            c = cand.select(*KEY, F.col("tok_id").alias(role.name), F.col("head").alias(role.parent))
-            m = m.join(c, [*KEY, role.parent])
-        elif role.parent in root_roles:
-            c = cand.select(*KEY, F.col("tok_id").alias(role.name))
-            m = m.join(c, KEY).filter(F.col(role.name) != F.col(role.parent))
-        else:
-            pairs = descendant_pairs(tokens, cand.select(*KEY, "tok_id"))
-            c = pairs.select(*KEY, F.col("desc").alias(role.name), F.col("anc").alias(role.parent))
-            m = m.join(c, [*KEY, role.parent])
-        if role.dep == ("ROOT",):
-            root_roles.add(role.name)
-    for a, b in rule.distinct:
-        m = m.filter(F.col(a) != F.col(b))
-    return m
+def _closure(rule: Rule, role: Role) -> bool:
+    """A descendant below a role that need not be the root."""
+    return role.op == ">>" and next(r for r in rule.roles if r.name == role.parent).dep != ("ROOT",)
+
+
+def role_rows(tokens: DataFrame, names: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(rule, role, doc_id, sent_id, tok_id, key, names): the tokens that can play a role, stored.
+
+    One scan of the tokens meets the conditions of every role of every rule, a bit each (63 at most).  Only sentences that
+    have a token for each role of a rule keep that rule's rows; what is left is small, and gets its names.  ``key`` is the token that the
+    parent role must be: the head, or ``ANY`` where any token below the root will do.
+    """
+    bits, whole, at = [], [], []   # a bit for each role; the bits of each rule; what each bit stands for
+    for rule in rules:
+        own = 0
+        for k, role in enumerate(rule.roles):
+            cond = _role_cond(role)
+            if k == 0 and rule.single_sentence:
+                cond = cond & ~F.col("multi_sent")
+            if k == 0 and rule.single_chunk:
+                cond = cond & (F.col("n_chunks") == 1) & (F.col("chunk_root") == F.col("tok_id"))
+            bit = 1 << len(bits)
+            own |= bit
+            bits.append(F.when(cond, F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
+            key = F.col("head") if role.op == ">" else F.lit(ANY)
+            at.append(F.when(F.col("roles").bitwiseAND(F.lit(bit).cast("long")) != 0, F.struct(
+                F.lit(rule.rid).alias("rule"), F.lit(k).alias("role"), key.cast("int").alias("key"))))
+        whole.append(F.lit(own).cast("long"))
+
+    def union(masks):
+        return reduce(lambda a, b: a.bitwiseOR(b), masks)
+
+    # no filters on these masks: they would be computed twice, and a token without a role explodes to nothing
+    r = tokens.select(*KEY, "tok_id", "head", union(bits).alias("roles"))
+    r = r.withColumn("met", F.bit_or("roles").over(W.partitionBy(*KEY)))
+    alive = union([F.when(F.col("met").bitwiseAND(x) == x, x).otherwise(F.lit(0).cast("long")) for x in whole])
+    r = r.withColumn("roles", F.col("roles").bitwiseAND(alive))
+    # one role after the other would be a scan each; few tokens have any, so the array is made for those alone
+    r = cut_lineage(r.select(*KEY, "tok_id", "head", "roles")).filter("roles <> 0")
+    r = r.select(*KEY, "tok_id", F.explode(F.array_compact(F.array(*at))).alias("r")).select(*KEY, "tok_id", "r.*")
+    n = names.select(*KEY, "tok_id", F.struct("pascal", "camel", "explicit", "lemma").alias("names"))
+    return cut_lineage(r.join(n, [*KEY, "tok_id"], "left"))
 
 
-def _name(m: DataFrame, names: DataFrame, src: tuple, alias: str) -> DataFrame:
-    kind, role = src
-    n = names.select(*KEY, F.col("tok_id").alias(role), F.col(kind).alias(alias))
-    return m.join(n, [*KEY, role], "left")
+def match(tokens: DataFrame, names: DataFrame, rules: list[Rule]) -> DataFrame:
+    """All matches of all rules, (rule, doc_id, sent_id, t): ``t`` has (tok_id, names) of each role, in order.
+
+    Step k joins the k-th role of every rule at once, so there are as many joins as the longest rule has roles.
+    """
+    rows = role_rows(tokens, names, rules)
+    for rule in rules:
+        for k, role in enumerate(rule.roles):
+            if _closure(rule, role):
+                here = (F.col("rule") == rule.rid) & (F.col("role") == k)
+                below = descendant_pairs(tokens, rows.filter(here)).select(
+                    *KEY, F.col("desc").alias("tok_id"), F.col("anc").alias("key"))
+                rows = rows.filter(~here).unionByName(rows.filter(here).drop("key").join(below, [*KEY, "tok_id"]))
+    tok = F.struct("tok_id", "names")
+    m = rows.filter("role = 0").select("rule", *KEY, F.array(tok).alias("t"))
+    done = []
+    for k in range(1, max(len(r.roles) for r in rules) + 1):
+        over = [r.rid for r in rules if len(r.roles) == k]
+        if over:
+            done.append(m.filter(F.col("rule").isin(over)))
+        more = [r for r in rules if len(r.roles) > k]
+        if not more:
+            break
+        parent = F.coalesce(*[F.when(F.col("rule") == r.rid, [x.name for x in r.roles].index(r.roles[k].parent) + 1)
+                              for r in more])
+        anywhere = [r.rid for r in more if r.roles[k].op == ">>" and not _closure(r, r.roles[k])]
+        m = m.filter(F.col("rule").isin([r.rid for r in more])).withColumn("parent", F.element_at("t", parent)["tok_id"])
+        m = m.withColumn("key", F.when(F.col("rule").isin(anywhere), ANY).otherwise(F.col("parent")) if anywhere else F.col("parent"))
+        nxt = rows.filter(F.col("role") == k).select("rule", *KEY, "key", tok.alias("n"))
+        m = m.join(nxt, ["rule", *KEY, "key"]).filter(F.col("n.tok_id") != F.col("parent"))
+        # stored, as the rules that end here and those that go on both read it
+        m = cut_lineage(m.select("rule", *KEY, F.concat("t", F.array("n")).alias("t")))
+    m = reduce(DataFrame.unionByName, done)
+    for rule in rules:
+        at = [r.name for r in rule.roles]
+        for a, b in rule.distinct:
+            m = m.filter((F.col("rule") != rule.rid) | (F.element_at("t", at.index(a) + 1)["tok_id"]
+                                                        != F.element_at("t", at.index(b) + 1)["tok_id"]))
+    return m
 
 
 def multiplicity(tokens: DataFrame, matched: DataFrame) -> DataFrame:
@@ -231,47 +287,44 @@ def multiplicity(tokens: DataFrame, matched: DataFrame) -> DataFrame:
                          & (F.col("adverb") <= F.col("p_start") + F.col("p_len")))).alias("mult_ambiguous")))
 
 
+def hits(tokens: DataFrame, names: DataFrame, rules: list[Rule]) -> DataFrame:
+    """R0c + R0d + action: one result row per (sentence, rule); the last match wins that has a result."""
+    def by_rule(value):
+        """``value(rule)`` where it is not None, as a column over ``rule``."""
+        cases = [F.when(F.col("rule") == r.rid, c) for r in rules if (c := value(r)) is not None]
+        return F.coalesce(*cases, F.lit(None).cast("string")) if cases else F.lit(None).cast("string")
+
+    def name(rule, source):
+        if source is None:
+            return None
+        kind, role = source
+        return F.element_at("t", [r.name for r in rule.roles].index(role) + 1)["names"][kind]
+
+    m = match(tokens, names, rules).withColumn("cls", by_rule(lambda r: name(r, r.cls)))
+    # a null result does not overwrite
+    m = m.filter(F.col("cls").isNotNull() | ~F.col("rule").isin([r.rid for r in rules if r.cls]))
+    last = F.max_by(F.struct("t", "cls"), F.transform("t", lambda x: x["tok_id"]))
+    m = m.groupBy("rule", *KEY).agg(last.alias("m")).select("rule", *KEY, "m.*")
+    attr = lambda i: by_rule(lambda r: name(r, r.attrs[i]) if len(r.attrs) > i else None)
+    m = m.select(
+        *KEY, "rule", by_rule(lambda r: F.lit(r.kind)).alias("kind"), "cls", *[attr(i).alias(f"attr{i + 1}") for i in range(3)],
+        by_rule(lambda r: F.lit(r.attr_type) if r.attrs and r.attr_type is not None else None).alias("attr_type"),
+        by_rule(lambda r: name(r, r.src)).alias("src"), by_rule(lambda r: name(r, r.dst)).alias("dst"),
+        by_rule(lambda r: F.lit("") if r.src else None).alias("mult"),
+        by_rule(lambda r: F.coalesce(name(r, r.rel_name), F.lit("")) if r.rel_name else F.lit("") if r.src else None)
+        .alias("rel_name"), F.lit(False).alias("mult_ambiguous"), "t")
+    for rule in rules:
+        if rule.multiplicity:
+            own = F.col("rule") == rule.rid
+            adverb = F.element_at("t", [r.name for r in rule.roles].index("adverb") + 1)["tok_id"]
+            asked = m.filter(own).withColumn("adverb", adverb)
+            found = multiplicity(tokens, asked.select(*KEY, "adverb"))
+            asked = asked.drop("mult", "mult_ambiguous").join(found, [*KEY, "adverb"], "left").withColumn(
+                "mult_ambiguous", F.coalesce("mult_ambiguous", F.lit(False)))
+            m = m.filter(~own).unionByName(asked.select(m.columns))
+    return m.select(*HIT_COLUMNS)
+
+
 def rule_hits(tokens: DataFrame, rule: Rule, names: DataFrame) -> DataFrame:
-    """R0c + R0d + action: one result row per (sentence, rule); the last match wins."""
-    m = match(tokens, rule)
-    order = [F.col(r.name).desc() for r in rule.roles]
-    m = m.withColumn("_rk", F.row_number().over(W.partitionBy(*KEY).orderBy(*order)))
-    if rule.single_sentence or rule.single_chunk:
-        facts = tokens.select(*KEY, F.col("tok_id").alias(rule.roles[0].name), "multi_sent", "n_chunks",
-                              "chunk_root")
-        m = m.join(facts, [*KEY, rule.roles[0].name])
-        if rule.single_sentence:
-            m = m.filter(~F.col("multi_sent"))
-        if rule.single_chunk:
-            m = m.filter((F.col("n_chunks") == 1) & (F.col("chunk_root") == F.col(rule.roles[0].name)))
-    cols = {}
-    if rule.cls:
-        m = _name(m, names, rule.cls, "cls")
-        m = m.filter(F.col("cls").isNotNull())  # a null result does not overwrite (R0d)
-    for i, a in enumerate(rule.attrs):
-        m = _name(m, names, a, f"attr{i + 1}")
-    if rule.src:
-        m = _name(_name(m, names, rule.src, "src"), names, rule.dst, "dst")
-    if rule.rel_name:
-        m = _name(m, names, rule.rel_name, "rel_name")
-    # the last surviving match per sentence
-    m = m.withColumn("_rk", F.row_number().over(W.partitionBy(*KEY).orderBy(*order))).filter("_rk = 1")
-    if rule.multiplicity:
-        mm = multiplicity(tokens, m.select(*KEY, "adverb"))
-        m = m.join(mm, [*KEY, "adverb"], "left")
-    null_s = F.lit(None).cast("string")
-    cols = {
-        "rule": F.lit(rule.rid), "kind": F.lit(rule.kind),
-        "cls": F.col("cls") if rule.cls else null_s,
-        "attr1": F.col("attr1") if len(rule.attrs) > 0 else null_s,
-        "attr2": F.col("attr2") if len(rule.attrs) > 1 else null_s,
-        "attr3": F.col("attr3") if len(rule.attrs) > 2 else null_s,
-        "attr_type": F.lit(rule.attr_type).cast("string") if rule.attrs else null_s,
-        "src": F.col("src") if rule.src else null_s,
-        "dst": F.col("dst") if rule.src else null_s,
-        "mult": (F.col("mult") if rule.multiplicity else F.lit("")) if rule.src else null_s,
-        "rel_name": (F.coalesce(F.col("rel_name"), F.lit("")) if rule.rel_name else F.lit("")) if rule.src
-        else null_s,
-        "mult_ambiguous": F.coalesce(F.col("mult_ambiguous"), F.lit(False)) if rule.multiplicity else F.lit(False),
-    }
-    return m.select(*KEY, *[v.alias(k) for k, v in cols.items()])
+    """The results of one rule."""
+    return hits(tokens, names, [rule])
