@@ -2,21 +2,23 @@
 
 A text is its lower-cased words joined by one space and closed by an end mark, as UTF-8 bytes, so
 each sequence of words has one spelling and the model's probability is one over word sequences.
-Symbols are bytes.  A context of up to ``DEPTH`` bytes becomes a node of the tree if it makes up at
-least ``FLOOR`` of all training symbols and its next-symbol distribution diverges from that of the
-context one byte shorter: share of the context times Kullback-Leibler divergence is ``GAIN`` or more, and
-occurrences times divergence is ``EVIDENCE`` or more for each distinct next symbol.  A node's distribution is
+Symbols are bytes.  A context of up to ``DEPTH`` bytes becomes a node of the tree if it occurs ``LEAST`` times or
+more and its next-symbol distribution diverges from that of the context one byte shorter: occurrences times
+Kullback-Leibler divergence is ``EVIDENCE`` or more for each distinct next symbol.  Both tests count occurrences, not
+shares, so the tree grows with the training texts.  A node's distribution is
 smoothed with ``WEIGHT`` pseudo-counts a distinct next symbol, spread like its nearest retained suffix; the
-root is smoothed with the uniform distribution over 256 bytes.  Scoring follows the longest suffix state
-through an automaton (states: prefixes of retained contexts), many stretches of text at a time.
+root is smoothed with the uniform distribution over 256 bytes.  Each position is scored by its longest retained
+suffix: sorted tables, one for each context length, are searched for the distinct (context, next) pairs of a stretch.
 
 The base score needs every word's training count.  Words that make up at least ``COMMON`` of the training
 tokens are broadcast, the counts of all others meet the documents in a join.
 
-Scale: n-gram and word counts combine in each task (bounded memory, flushed) and again after one shuffle.
-Contexts kept are at most (DEPTH + 1) / FLOOR and common words at most 1 / COMMON, whatever the
-input; only these reach the driver and the broadcasts.  The automaton's dense tables are built from the retained
-contexts once in each Python worker, never on the driver.  Words are compared by 64-bit hash.
+Scale: n-gram and word counts combine in each task (bounded memory, flushed) and again after one shuffle.  The tree
+is a stored table.  It is dealt into pieces of about ``PIECE`` rows by the two latest bytes of the context (a context
+and all its suffixes of two bytes or more share a piece; the few shorter ones go with every piece).  The driver
+takes one piece at a time and broadcasts it; a pass over the texts scores the positions of ``PER_PASS`` pieces, and there
+are as many passes as the tree needs, so neither the driver nor a worker holds more than that.  Common words are at
+most 1 / COMMON.  Words are compared by 64-bit hash.  Very long texts are counted and scored in stretches.
 
 Defined cases: null text is the empty text (one token, the end); a null id trains; repeated rows and ids
 each train and are each scored; without training rows every distribution is uniform and counts are 0; an empty
@@ -27,26 +29,24 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import held_out, pick, store
 
-DEPTH = 6
-FLOOR = 2e-6
-GAIN = 2e-7
+DEPTH = 7            # with the next byte, one 64-bit key
+LEAST = 4
 EVIDENCE = 1.0
-WEIGHT = 4.0
+WEIGHT = 6.0
+PIECE = 1 << 19
+PER_PASS = 8
 COMMON = 2e-7
 END = 10             # byte of the end mark, which no word and no space can be
-LANES = 4096
 STREAM = 1 << 22     # bytes per vector step
 FLUSH = 1 << 21      # distinct n-grams or words a task holds
 
@@ -72,16 +72,26 @@ def streams(texts, size: int = STREAM):
         yield np.frombuffer(b"".join(parts), np.uint8), np.array(starts), words
 
 
-def grams(stream: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (next byte, then its context, latest byte first) of every scored position, and their counts."""
+def keys(stream: np.ndarray, starts: np.ndarray):
+    """(first place, scored places from there, their keys) of each stretch; key: next byte, then its context, latest
+    byte first, from the highest byte down."""
     scored = np.ones(len(stream), bool)
     for k in range(1, DEPTH + 1):
         scored[starts - k] = False
-    key = stream.astype(np.int64) << 8 * DEPTH
-    for k in range(1, DEPTH + 1):
-        key[k:] |= stream[:-k].astype(np.int64) << 8 * (DEPTH - k)
-    key = np.sort(key[scored])
-    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    for a in range(0, len(stream), STREAM):
+        low = max(0, a - DEPTH)
+        part = stream[low:a + STREAM].astype(np.uint64)
+        key = part << np.uint64(8 * DEPTH)
+        for k in range(1, DEPTH + 1):
+            key[k:] |= part[:-k] << np.uint64(8 * (DEPTH - k))
+        here = np.flatnonzero(scored[a:a + STREAM])
+        yield a, here, key[a - low:][here]
+
+
+def grams(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and their counts."""
+    key = np.sort(key)
+    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[:len(key)]
     return key[cut], np.diff(np.r_[cut, len(key)])
 
 
@@ -95,24 +105,25 @@ def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
 
 
 def _rows(key, n):
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
 
 
 def gram_counts(train: DataFrame) -> DataFrame:
-    """(text as bytes) -> (key, n) over all training positions."""
+    """(text as bytes) -> (key, n) over all training positions, combined in each task only."""
     def run(batches):
         held = []
         for b in batches:
             for stream, starts, _ in streams(x.as_py() for x in b.column(0)):
-                held.append(grams(stream, starts))
-                if len(held) > 8 or sum(len(k) for k, _ in held) > FLUSH:
-                    held = [_sum(held)]
-                    if len(held[0][0]) > FLUSH:
-                        yield _rows(*held.pop())
+                for _, _, key in keys(stream, starts):
+                    held.append(grams(key))
+                    if len(held) > 8 or sum(len(k) for k, _ in held) > FLUSH:
+                        held = [_sum(held)]
+                        if len(held[0][0]) > FLUSH:
+                            yield _rows(*held.pop())
         if held:
             yield _rows(*_sum(held))
 
-    return train.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return train.mapInArrow(run, "key long, n long")
 
 
 def word_hash(words) -> np.ndarray:
@@ -137,180 +148,201 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def retained(counts: DataFrame, floor: float = FLOOR, gain: float = GAIN,
-             evidence: float = EVIDENCE) -> pd.DataFrame:
-    """(d, key, n, total): next-symbol counts of the root and of each context that passes the tests."""
-    level = store(counts)
-    every = level.agg(F.sum("n")).first()[0] or 0
-    kept, longer = [], None
-    for d in range(DEPTH, -1, -1):
-        own = level.withColumn("ctx", F.expr(f"key & {(1 << 8 * d) - 1}L"))
-        often = own.groupBy("ctx").agg(F.sum("n").alias("total")).where(F.col("total") >= floor * every)
-        own = store(own.join(often, "ctx"))
-        if longer is not None:
-            kept.append(_diverging(longer, own, every, gain, evidence).withColumn("d", F.lit(d + 1)))
-        longer = own
-        if d:
-            level = store(level.groupBy(F.shiftright("key", 8).alias("key")).agg(F.sum("n").alias("n")))
-    out = longer.withColumn("d", F.lit(0))
+def _level(counts: DataFrame, d: int) -> DataFrame:
+    """(ctx, key, n, total) of contexts of ``d`` bytes: one shuffle by context, in which a context has 256 keys at most."""
+    own = counts.withColumn("ctx", F.expr(f"key & {(1 << 8 * d) - 1}L")).repartition("ctx")
+    own = own.groupBy("ctx", "key").agg(F.sum("n").alias("n"))
+    return store(own.withColumn("total", F.sum("n").over(Window.partitionBy("ctx"))))
+
+
+def retained(counts: DataFrame, least: int = LEAST, evidence: float = EVIDENCE) -> DataFrame:
+    """(d, key, n, two): next-symbol counts of the root and of each context that passes the tests; ``two`` are the
+    two latest bytes, null for shorter contexts."""
+    own, kept = _level(counts, DEPTH), []
+    for d in range(DEPTH, 0, -1):
+        shorter = _level(own.select(F.shiftrightunsigned("key", 8).alias("key"), "n"), d - 1)
+        kept.append(_diverging(own.where(F.col("total") >= least), shorter, evidence)
+                    .select(F.lit(d).alias("d"), "key", "n",
+                            F.shiftright("ctx", 8 * (d - 2)).cast("int").alias("two") if d > 1
+                            else F.lit(None).cast("int").alias("two")))
+        own = shorter
+    out = own.select(F.lit(0).alias("d"), "key", "n", F.lit(None).cast("int").alias("two"))
     for k in kept:
         out = out.unionByName(k)
-    return out.select("d", "key", "n", "total").toPandas()
-
-
-def _diverging(own: DataFrame, shorter: DataFrame, every: int, gain: float, evidence: float) -> DataFrame:
-    """The rows (ctx, key, n, total) of ``own`` whose context passes against the context one byte shorter."""
-    p, q = F.col("n") / F.col("total"), F.col("n0") / F.col("total0")
-    up = shorter.select(F.col("key").alias("up"), F.col("n").alias("n0"), F.col("total").alias("total0"))
-    divergence = F.first("total") * F.sum(p * F.log(p / q))
-    passed = (own.withColumn("up", F.shiftright("key", 8)).join(up, "up").groupBy("ctx")
-              .agg(divergence.alias("g"), F.count(F.lit(1)).alias("kinds"))
-              .where((F.col("g") >= gain * every) & (F.col("g") >= evidence * F.col("kinds"))).select("ctx"))
-    return own.join(passed, "ctx")
-
-
-@dataclass
-class Automaton:
-    symbol: np.ndarray   # byte -> column; bytes never seen share the last one
-    step: np.ndarray     # (state, column) -> state
-    logp: np.ndarray     # (state, column) -> log10 probability
-
-    @classmethod
-    def build(cls, table: pd.DataFrame, weight: float = WEIGHT) -> Automaton:
-        table = table.sort_values(["d", "key"])
-        d, n, total = (table[c].to_numpy(np.int64) for c in ("d", "n", "total"))
-        key = table["key"].to_numpy(np.int64).view(np.uint64)
-        nxt = (key >> (8 * d).astype(np.uint64)).astype(np.int64) & 255
-        ctx = (key & ((np.uint64(1) << (8 * d).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
-        read = np.zeros_like(ctx)  # the context in reading order, first byte highest
-        for k in range(DEPTH):
-            read |= np.where(k < d, ((ctx >> 8 * (d - 1 - k)) & 255) << 8 * k, 0)
-        seen = np.unique(np.r_[nxt, *[(read[d > k] >> 8 * k) & 255 for k in range(DEPTH)]])
-        symbol = np.full(256, len(seen), np.int64)
-        symbol[seen] = np.arange(len(seen))
-        width = len(seen) + 1
-
-        # states: every prefix of a retained context, level by level
-        level: list[np.ndarray] = [np.zeros(0, np.int64)] * (DEPTH + 2)
-        for size in range(DEPTH, 0, -1):
-            level[size] = np.unique(np.r_[read[d == size], level[size + 1] >> 8])
-        level[0] = np.zeros(1, np.int64)
-        first = np.cumsum([0] + [len(x) for x in level])
-        states = int(first[-1])
-        step, link = np.zeros((states, width), np.int32), np.zeros(states, np.int64)
-        for size in range(DEPTH):
-            rows = np.arange(first[size], first[size + 1])
-            if size:
-                step[rows] = step[link[rows]]
-            kids = level[size + 1]
-            if len(kids):
-                at = first[size + 1] + np.arange(len(kids))
-                parent = first[size] + np.searchsorted(level[size], kids >> 8)
-                column = symbol[kids & 255]
-                link[at] = step[parent, column] if size else 0
-                step[parent, column] = at
-        rows = np.arange(first[DEPTH], first[DEPTH + 1])
-        step[rows] = step[link[rows]]
-
-        # distributions, the shorter suffix first
-        prob = np.empty((states, width), np.float32)
-        order = np.lexsort((ctx, d))
-        d, ctx, read, nxt, n, total = (x[order] for x in (d, ctx, read, nxt, n, total))
-        cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (ctx[1:] != ctx[:-1])]) if len(d) else np.zeros(0, int)
-        of = np.array([first[a] + (np.searchsorted(level[a], b) if a else 0)
-                       for a, b in zip(d[cut], read[cut], strict=True)], np.int64)
-        whole, kinds = np.zeros(states), np.zeros(states)
-        where = np.repeat(of, np.diff(np.r_[cut, len(d)]))
-        whole[of], kinds[of] = total[cut], np.diff(np.r_[cut, len(d)])
-        held = weight * kinds  # pseudo-counts: a node with many followers trusts its counts less
+    return store(out)
+
+
+def _diverging(own: DataFrame, shorter: DataFrame, evidence: float) -> DataFrame:
+    """The rows of ``own`` whose context passes against the context one byte shorter."""
+    up = shorter.select(F.col("key").alias("up"), (F.col("n") / F.col("total")).alias("q"))
+    both = own.withColumn("up", F.shiftrightunsigned("key", 8)).join(up, "up")
+    w = Window.partitionBy("ctx")
+    return (both.withColumn("g", F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).over(w))
+            .withColumn("kinds", F.count(F.lit(1)).over(w)).where(F.col("g") >= evidence * F.col("kinds")))
+
+
+def piece_of(two, pieces: int):
+    """The piece of a context by its two latest bytes; for columns and arrays alike."""
+    return (two * 40503 % 65536) * pieces / 65536
+
+
+def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is in the sorted table, and where."""
+    if not len(table):
+        return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+    at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+    return table[at] == key, at
+
+
+def _context(key: np.ndarray, d: int) -> np.ndarray:
+    return key & np.uint64((1 << 8 * d) - 1)
+
+
+class Tree:
+    """For each context length, sorted (context, next) pairs with their smoothed probability, and sorted contexts with
+    the share that they leave to shorter ones."""
+
+    def __init__(self, d: np.ndarray, key: np.ndarray, n: np.ndarray, weight: float = WEIGHT):
+        self.pair, self.prob, self.context, self.rest = [], [], [], []
         for size in range(DEPTH + 1):
-            rows = np.arange(first[size], first[size + 1])
-            prob[rows] = prob[link[rows]] if size else 1 / 256
-            own = rows[whole[rows] > 0]
-            prob[own] *= (held[own] / (whole[own] + held[own])).astype(np.float32)[:, None]
             mine = d == size
-            prob[where[mine], symbol[nxt[mine]]] += n[mine] / (total[mine] + held[where[mine]])
-        return cls(symbol.astype(np.int32), step, np.log10(prob, out=prob))
-
-    def score(self, stream: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each text of a stream."""
-        size = -(-len(stream) // LANES)
-        lanes = -(-len(stream) // size)
-        column = np.full(DEPTH + lanes * size, self.symbol[END], np.int32)
-        column[DEPTH:DEPTH + len(stream)] = self.symbol[stream]
-        # lane k reads its stretch after the DEPTH symbols before it, which fix the state
-        at = np.arange(lanes) * size
-        state, width = np.zeros(lanes, np.int64), self.step.shape[1]
-        step, logp = self.step.ravel(), self.logp.ravel()
-        out = np.empty((size, lanes), np.float32)
-        for k in range(-DEPTH, size):
-            here = state * width + column[at + DEPTH + k]
-            if k >= 0:
-                out[k] = logp[here]
-            state = step[here].astype(np.int64)
-        flat = np.ascontiguousarray(out.T).ravel()[:len(stream)].astype(np.float64)
-        for k in range(1, DEPTH + 1):
-            flat[starts - k] = 0.0
+            order = np.argsort(key[mine])
+            pair, m = key[mine][order], n[mine][order]
+            context, of, kinds = np.unique(_context(pair, size), return_inverse=True, return_counts=True)
+            held = weight * kinds  # pseudo-counts: a node with many followers trusts its counts less
+            total = np.bincount(of, m, minlength=len(context)) + held
+            lower = self.probability(pair >> np.uint64(8), size - 1) if size else 1 / 256
+            self.pair.append(pair)
+            self.prob.append((m + held[of] * lower) / total[of])
+            self.context.append(context)
+            self.rest.append(held / total)
+
+    def probability(self, key: np.ndarray, top: int) -> np.ndarray:
+        """Probability of each (context, next) pair of up to ``top`` bytes by the longest retained suffix."""
+        out, left = np.ones(len(key)), np.arange(len(key))
+        for d in range(top, -1, -1):
+            k = key[left] >> np.uint64(8 * (top - d))
+            found, at = _find(self.pair[d], k)
+            out[left[found]] *= self.prob[d][at[found]]
+            left, k = left[~found], k[~found]
+            known, at = _find(self.context[d], _context(k, d))
+            out[left[known]] *= self.rest[d][at[known]]
+        out[left] /= 256
+        return out
+
+    def score(self, stream: np.ndarray, starts: np.ndarray, mine=None) -> np.ndarray:
+        """log10 probability of each text of a stream, over the positions whose two latest bytes are in ``mine``."""
+        flat = np.zeros(len(stream))
+        for a, here, key in keys(stream, starts):
+            if mine is not None:
+                inside = mine[_context(key, DEPTH) >> np.uint64(8 * (DEPTH - 2))]
+                here, key = here[inside], key[inside]
+            pairs, of = np.unique(key, return_inverse=True)
+            flat[a + here] = np.log10(self.probability(pairs, DEPTH))[of]
         return np.add.reduceat(flat, starts)
 
 
-_BUILT: dict[str, Automaton] = {}
+_BUILT: dict[str, Tree] = {}
 
 
-def _automaton(name: str, table: pd.DataFrame) -> Automaton:
-    """The automaton of ``table``, built once in each Python worker; only the latest is held."""
+def _tree(name: str, parts: list) -> Tree:
+    """The tree of the broadcast ``parts``, built once in each Python worker; only the latest is held."""
     if name not in _BUILT:
         _BUILT.clear()
-        _BUILT[name] = Automaton.build(table)
+        _BUILT[name] = Tree(*(np.concatenate(x) for x in zip(*(p.value for p in parts), strict=True)))
     return _BUILT[name]
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor: float = FLOOR, gain: float = GAIN,
-          common: float = COMMON) -> DataFrame:
+def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    t = rows.select(F.col("d").cast("byte"), "key", "n").toPandas()
+    return t["d"].to_numpy(np.int8), t["key"].to_numpy(np.int64).view(np.uint64), t["n"].to_numpy(np.int64)
+
+
+def passes(spark, tree: DataFrame):
+    """(broadcast parts, the two latest bytes they are for) of each pass over the texts; the driver drops the parts of
+    a pass when the next is asked for, by when the pass's scores must be written."""
+    sc, two = spark.sparkContext, np.arange(65536, dtype=np.int64)
+    pieces = -(-tree.count() // PIECE) or 1
+    short = sc.broadcast(_collected(tree.where("two is null")))
+    for low in range(0, pieces, PER_PASS):
+        high = min(low + PER_PASS, pieces)
+        parts = [short, *(sc.broadcast(_collected(
+            tree.where(F.floor(piece_of(F.col("two").cast("long"), pieces)) == k))) for k in range(low, high))]
+        of = piece_of(two, pieces).astype(np.int64)
+        yield parts, ((of >= low) & (of < high)) if high - low < pieces else None
+        for p in parts[1:]:
+            p.destroy()
+    short.destroy()
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST,
+          evidence: float = EVIDENCE, common: float = COMMON) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of ``docs``."""
     d = (pick(docs, doc_id=id_col, text=text_col)
          .select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), F.col("text").cast("binary").alias("text")))
     train = d.where(~F.col("held_out")).select("text")
     sc = docs.sparkSession.sparkContext
-    tree, name = sc.broadcast(retained(gram_counts(train), floor, gain)), uuid.uuid4().hex
+    tree = retained(gram_counts(train), least, evidence)
     words = store(word_counts(train))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     is_common = F.col("n") >= common * n  # at most 1 / common words
     top = words.where(is_common).toPandas().sort_values("key")
     often = sc.broadcast((top["key"].to_numpy(np.int64), np.log10(top["n"].to_numpy(np.float64) + 1)))
     schema = T.StructType([*(f for f in d.schema.fields if f.name != "text"), *(
-        T.StructField(c, t) for c, t in (("row", T.LongType()), ("n_tokens", T.LongType()), ("known", T.LongType()),
-                                         ("logs", T.DoubleType()), ("score", T.DoubleType()),
+        T.StructField(c, t) for c, t in (("row", T.LongType()), ("score", T.DoubleType()), ("n_tokens", T.LongType()),
+                                         ("known", T.LongType()), ("logs", T.DoubleType()),
                                          ("rare", T.ArrayType(T.LongType()))))])
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        model, (keys, logs) = _automaton(name, tree.value), often.value
-        row = TaskContext.get().partitionId() << 40
-        for b in batches:
-            at = 0
-            for stream, starts, words in streams(x.as_py() for x in b.column("text")):
-                m = len(words)
-                n_tokens = np.array([len(w) + 1 for w in words])
-                first = np.cumsum(n_tokens) - n_tokens
-                h = word_hash(x for w in words for x in (*w, b""))
-                spot = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-                known = keys[spot] == h if len(keys) else np.zeros(len(h), bool)
-                log = np.where(known, logs[spot] if len(keys) else 0.0, 0.0)
-                n_known = np.add.reduceat(known.astype(np.int64), first)
-                rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_tokens - n_known)], pa.int32()),
-                                                pa.array(h[~known]))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(at, m), b.column("held_out").slice(at, m),
-                     pa.array(np.arange(row, row + m)), pa.array(n_tokens), pa.array(n_known),
-                     pa.array(np.add.reduceat(log, first)), pa.array(model.score(stream, starts)), rare],
-                    names=schema.names)
-                row, at = row + m, at + m
-
-    scored = store(d.mapInArrow(run, schema))
-    tree.destroy()  # the scores are written: the driver need not hold the tables any longer
+    def scorer(parts, mine, whole):
+        """Score of the pass's positions by row; ``whole``: with the other columns."""
+        name = uuid.uuid4().hex
+
+        def run(batches):
+            from pyspark import TaskContext
+
+            model = _tree(name, parts)
+            row = TaskContext.get().partitionId() << 40
+            for b in batches:
+                at = 0
+                for stream, starts, words in streams(x.as_py() for x in b.column("text")):
+                    m = len(words)
+                    own = {"row": pa.array(np.arange(row, row + m)), "score": pa.array(model.score(stream, starts, mine))}
+                    if whole:
+                        own |= {c: b.column(c).slice(at, m) for c in ("doc_id", "held_out")}
+                        own |= known_words(words)
+                    names = [f.name for f in schema if f.name in own]
+                    yield pa.RecordBatch.from_arrays([own[c] for c in names], names=names)
+                    row, at = row + m, at + m
+
+        return run
+
+    def known_words(words):
+        keys, logs = often.value
+        n_tokens = np.array([len(w) + 1 for w in words])
+        first = np.cumsum(n_tokens) - n_tokens
+        h = word_hash(x for w in words for x in (*w, b""))
+        spot = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+        known = keys[spot] == h if len(keys) else np.zeros(len(h), bool)
+        log = np.where(known, logs[spot] if len(keys) else 0.0, 0.0)
+        n_known = np.add.reduceat(known.astype(np.int64), first)
+        rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_tokens - n_known)], pa.int32()), pa.array(h[~known]))
+        return {"n_tokens": pa.array(n_tokens), "known": pa.array(n_known), "logs": pa.array(np.add.reduceat(log, first)),
+                "rare": rare}
+
+    scored, more = None, []
+    for parts, mine in passes(docs.sparkSession, tree):
+        if scored is None:
+            if mine is not None:  # rows are numbered by task and place: every pass must read the same files
+                d = store(d)
+            scored = store(d.mapInArrow(scorer(parts, mine, True), schema))
+        else:
+            more.append(store(d.select("text").mapInArrow(scorer(parts, mine, False), "row long, score double")))
     often.destroy()
+    if more:
+        every = scored.select("row", "score")
+        for x in more:
+            every = every.unionByName(x)
+        scored = scored.drop("score").join(every.groupBy("row").agg(F.sum("score").alias("score")), "row")
     rare = scored.select("row", F.explode("rare").alias("key"))
     # words that training never met add log10(1) = 0 and are not known: an inner join will do
     sums = (rare.join(words.where(~is_common), "key").groupBy("row")

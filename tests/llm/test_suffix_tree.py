@@ -12,7 +12,7 @@ def spell(t):
     return b" ".join((t or "").encode().lower().split()) + b"\n"
 
 
-def slow_tree(train, floor, gain):
+def slow_tree(train, least, evidence):
     """context (in reading order) -> next-byte counts, of the retained contexts."""
     nxt = defaultdict(Counter)
     for t in train:
@@ -20,15 +20,14 @@ def slow_tree(train, floor, gain):
         for i in range(S.DEPTH, len(s)):
             for d in range(S.DEPTH + 1):
                 nxt[s[i - d:i]][s[i]] += 1
-    every = nxt[b""].total()
     keep = {}
     for c, n in nxt.items():
         if not c:
             keep[c] = n
-        elif n.total() >= floor * every:
+        elif n.total() >= least:
             up = nxt[c[1:]]
             kl = sum(x / n.total() * math.log(x / n.total() / (up[a] / up.total())) for a, x in n.items())
-            if n.total() * kl >= max(gain * every, S.EVIDENCE * len(n)):
+            if n.total() * kl >= evidence * len(n):
                 keep[c] = n
     return keep
 
@@ -53,14 +52,14 @@ def rows(seed=0, n=120):
 
 
 def test_matches_brute_force(docs_of, clash):
-    data, floor, gain = rows(), 1e-3, 1e-5
+    data, least, evidence = rows(), 30, 2.0
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     train = [t for d, t in data if not held(d)]
-    tree = slow_tree(train, floor, gain)
+    tree = slow_tree(train, least, evidence)
     assert 20 < len(tree) < 2000
     count = Counter(w for t in train for w in [*(t or "").encode().lower().split(), b""])
     n, v = count.total(), len(count)
-    got = S.score(clash(docs_of(data)), floor=floor, gain=gain, common=0.02).collect()
+    got = S.score(clash(docs_of(data)), least=least, evidence=evidence, common=0.02).collect()
     want = []
     for d, t in data:
         w = [*(t or "").encode().lower().split(), b""]
@@ -72,19 +71,27 @@ def test_matches_brute_force(docs_of, clash):
         assert math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-5), (a, b)
 
 
-def test_lanes_and_flushes_change_nothing(docs_of, monkeypatch):
+def test_pieces_passes_stretches_and_flushes_change_nothing(docs_of, monkeypatch):
     data = rows(2, 60)
-    small = lambda: sorted((str(r.doc_id), round(r.score, 3), round(r.base_score, 6))
-                           for r in S.score(docs_of(data), floor=1e-3).collect())
-    want = small()
-    model = S.Automaton.build(S.retained(S.gram_counts(docs_of(data).selectExpr("cast(text as binary)")), 1e-3))
-    stream, starts, _ = next(S.streams([(t or "").encode() for _, t in data]))
-    a = model.score(stream, starts)
-    for lanes in (1, 7, 100):
-        monkeypatch.setattr(S, "LANES", lanes)
-        assert np.allclose(model.score(stream, starts), a, rtol=1e-5)
-    monkeypatch.undo()
-    assert small() == want
+    run = lambda: sorted((str(r.doc_id), round(r.score, 3), round(r.base_score, 6))
+                         for r in S.score(docs_of(data)).collect())
+    want = run()
+    for name, small in (("PIECE", 60), ("PER_PASS", 3), ("STREAM", 5000), ("FLUSH", 300)):
+        monkeypatch.setattr(S, name, small)
+    tree = S.retained(S.gram_counts(docs_of(data).selectExpr("cast(text as binary)")))
+    held = [(sum(len(p.value[0]) for p in parts), mine) for parts, mine in S.passes(tree.sparkSession, tree)]
+    assert len(held) > 2 and max(n for n, _ in held) < tree.count() and (sum(m.astype(int) for _, m in held) == 1).all()
+    assert run() == want
+
+
+def test_contexts_kept_grow_with_the_input(docs_of):
+    def kept(n):
+        r = random.Random(1)
+        texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(n)]
+        t = S.retained(S.gram_counts(docs_of([(i, x * 2) for i, x in enumerate(texts)]).selectExpr("cast(text as binary)")))
+        return t.selectExpr("d", "key & (shiftleft(1L, 8 * d) - 1) as ctx").distinct().count()
+    few, many = kept(40), kept(400)
+    assert many > 5 * few
 
 
 def test_empty_table_and_no_training_rows(docs_of):
