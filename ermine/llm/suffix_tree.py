@@ -39,16 +39,16 @@ from pyspark.sql import types as T
 
 from .common import held_out, pick, store
 
-DEPTH = 7            # with the next byte, one 64-bit key
+DEPTH = 6            # with the next byte, one 64-bit key; 7 at most
 LEAST = 4
 EVIDENCE = 1.0
-WEIGHT = 6.0
+WEIGHT = 4.0
 PIECE = 1 << 19
 PER_PASS = 8
 COMMON = 2e-7
 END = 10             # byte of the end mark, which no word and no space can be
 STREAM = 1 << 22     # bytes per vector step
-FLUSH = 1 << 21      # distinct n-grams or words a task holds
+FLUSH = 1 << 22      # distinct n-grams or words a task holds
 
 
 def canonical(text: bytes | None) -> list[bytes]:
@@ -150,9 +150,10 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 def _level(counts: DataFrame, d: int) -> DataFrame:
     """(ctx, key, n, total) of contexts of ``d`` bytes: one shuffle by context, in which a context has 256 keys at most."""
-    own = counts.withColumn("ctx", F.expr(f"key & {(1 << 8 * d) - 1}L")).repartition("ctx")
-    own = own.groupBy("ctx", "key").agg(F.sum("n").alias("n"))
-    return store(own.withColumn("total", F.sum("n").over(Window.partitionBy("ctx"))))
+    ctx = F.expr(f"key & {(1 << 8 * d) - 1}L")
+    own = counts.repartition(ctx).withColumn("ctx", ctx).groupBy("ctx", "key").agg(F.sum("n").alias("n"))
+    own = own.withColumn("total", F.sum("n").over(Window.partitionBy("ctx")))
+    return store(own.drop("ctx")).withColumn("ctx", ctx)
 
 
 def retained(counts: DataFrame, least: int = LEAST, evidence: float = EVIDENCE) -> DataFrame:
