@@ -44,11 +44,11 @@ LEAST = 4
 EVIDENCE = 1.0
 WEIGHT = 4.0
 PIECE = 1 << 19
-PER_PASS = 8
+PER_PASS = 6
 COMMON = 2e-7
 END = 10             # byte of the end mark, which no word and no space can be
-STREAM = 1 << 22     # bytes per vector step
-FLUSH = 1 << 22      # distinct n-grams or words a task holds
+STREAM = 1 << 21     # bytes per vector step
+FLUSH = 1 << 21      # distinct n-grams or words a task holds
 
 
 def canonical(text: bytes | None) -> list[bytes]:
