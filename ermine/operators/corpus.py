@@ -97,23 +97,20 @@ def nearest_antecedents(tokens: DataFrame, pronouns=("it", "them")) -> DataFrame
 
 def substitute_pronouns(tokens: DataFrame, mentions: DataFrame, pronouns=("it", "them"),
                         case_insensitive: bool = False) -> DataFrame:
-    """Replace each pronoun mention (root text exactly ``it`` / ``them``) by the text of
-    its chain's most specific mention; returns tokens with a ``resolved`` column (the
+    """Replace each pronoun mention (root text exactly ``it`` / ``them``) by the words of
+    its chain's most specific mention (``a,b and c``, P5); returns tokens with a ``resolved`` column (the
     replacement once on the mention's first token, empty on its other tokens).
 
     ``mentions``: (doc_id, chain_id, mention_id, sent_id, root_index, token_indexes ARRAY<INT>,
     is_most_specific).
     """
     toks = tokens.select(*KEY, "tok_id", "text")
-    # text of every mention, in token order
-    mt = (mentions.select("doc_id", "chain_id", "mention_id", "sent_id",
-                          F.posexplode("token_indexes").alias("k", "tok_id"))
-          .join(toks, [*KEY, "tok_id"])
-          .groupBy("doc_id", "chain_id", "mention_id")
-          .agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY k)").alias("mention_text")))
-    best = (mentions.filter("is_most_specific").select("doc_id", "chain_id", "mention_id")
-            .join(mt, ["doc_id", "chain_id", "mention_id"]).select("doc_id", "chain_id",
-                                                                   F.col("mention_text").alias("replacement")))
+    # text of the most specific mentions: P5 over their words (a mention is a few words)
+    words = F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"])
+    best = (mentions.filter("is_most_specific")
+            .select("doc_id", "chain_id", "sent_id", F.posexplode("token_indexes").alias("k", "tok_id"))
+            .join(toks, [*KEY, "tok_id"]).groupBy("doc_id", "chain_id")
+            .agg(conjunctive_join(words).alias("replacement")))
     root = toks.select(*KEY, F.col("tok_id").alias("root_index"), F.col("text").alias("root_text"))
     prn = mentions.join(root, [*KEY, "root_index"])
     cond = (F.lower("root_text").isin(*pronouns) if case_insensitive else F.col("root_text").isin(*pronouns))
@@ -124,3 +121,26 @@ def substitute_pronouns(tokens: DataFrame, mentions: DataFrame, pronouns=("it",
                      .otherwise(F.lit("")).alias("_rep"))
     return toks.join(rep, [*KEY, "tok_id"], "left").select(
         *KEY, "tok_id", "text", F.coalesce("_rep", "text").alias("resolved"))
+
+
+def antecedent_mentions(tokens: DataFrame, pronouns=("it", "them")) -> DataFrame:
+    """The mentions of P4 by P4a's heuristic: a chain is a noun-chunk root with the pronouns that it is the nearest
+    antecedent of.  Pronouns without a noun before them are in no chain."""
+    w = W.partitionBy("doc_id").orderBy("sent_id", "tok_id").rowsBetween(W.unboundedPreceding, -1)
+    is_root = F.col("pos").isin("NOUN", "PROPN") & (F.col("tok_id") == F.col("chunk_root"))
+    place = F.struct("sent_id", "tok_id")
+    said = (tokens.select(*KEY, "tok_id", "text", "pos", "chunk_root")
+            .withColumn("chain_id", F.last(F.when(is_root, place), True).over(w))
+            .filter(F.col("text").isin(*pronouns) & F.col("chain_id").isNotNull())
+            .select("doc_id", "chain_id", place.alias("mention_id"), F.lit(False).alias("is_most_specific")))
+    named = said.select("doc_id", "chain_id", F.col("chain_id").alias("mention_id"),
+                        F.lit(True).alias("is_most_specific")).distinct()
+    return said.unionByName(named).select(
+        "doc_id", "chain_id", "mention_id", "mention_id.sent_id", F.col("mention_id.tok_id").alias("root_index"),
+        F.array("mention_id.tok_id").alias("token_indexes"), "is_most_specific")
+
+
+def resolved_sentences(tokens: DataFrame, mentions: DataFrame, pronouns=("it", "them")) -> DataFrame:
+    """The sentences with their pronouns replaced -> (doc_id, sent_id, sentence)."""
+    r = substitute_pronouns(tokens, mentions, pronouns)
+    return rebuild_sentences(r.filter("resolved <> ''").select(*KEY, "tok_id", F.col("resolved").alias("text")))

@@ -131,12 +131,23 @@ def q_antecedents(spark, sf):  # P4a
     return P.nearest_antecedents(FX.doc_tokens(spark, sf))
 
 
-SQL_P4A = _ann_sql() + """
-SELECT doc_id, sent_id, tok_id, text, antecedent FROM (
+_SQL_ANTECEDENTS = """(
   SELECT *, last_value(CASE WHEN pos IN ('NOUN', 'PROPN') AND tok_id = chunk_root THEN text END IGNORE NULLS)
     OVER (PARTITION BY doc_id ORDER BY sent_id, tok_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
     AS antecedent
-  FROM toks) WHERE text IN ('it', 'them')"""
+  FROM toks)"""
+SQL_P4A = _ann_sql() + f"""
+SELECT doc_id, sent_id, tok_id, text, antecedent FROM {_SQL_ANTECEDENTS} WHERE text IN ('it', 'them')"""
+
+
+def q_resolved_sentences(spark, sf):  # P4 with P4a's mentions, then P3
+    toks = FX.doc_tokens(spark, sf)
+    return P.resolved_sentences(toks, P.antecedent_mentions(toks))
+
+
+SQL_P4 = _ann_sql() + f"""
+SELECT doc_id, sent_id, trim(string_agg(CASE WHEN text IN ('it', 'them') THEN coalesce(antecedent, text) ELSE text END,
+  ' ' ORDER BY tok_id)) AS sentence FROM {_SQL_ANTECEDENTS} GROUP BY doc_id, sent_id"""
 
 
 # ---- classification ------------------------------------------------------------
@@ -323,6 +334,7 @@ PREP_QUERIES = {
     "p1_label_kind_pairs": q_label_kind_pairs,
     "p2_grouped_texts": q_grouped_texts,
     "p3_rebuilt_sentences": q_rebuilt_sentences,
+    "p4_resolved_sentences": q_resolved_sentences,
     "p4a_pronoun_antecedents": q_antecedents,
     "p5_conjunctive_role_lists": q_role_lists,
     "p6_split_dataset": q_split_dataset,
@@ -343,6 +355,7 @@ PREP_ORACLE = {
     "p1_label_kind_pairs": SQL_P1,
     "p2_grouped_texts": SQL_P2,
     "p3_rebuilt_sentences": SQL_P3,
+    "p4_resolved_sentences": SQL_P4,
     "p4a_pronoun_antecedents": SQL_P4A,
     "p5_conjunctive_role_lists": SQL_P5,
     "p6_split_dataset": SQL_P6,

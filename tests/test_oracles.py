@@ -11,7 +11,8 @@ KEYS = ["t1_tokens", "t3_t4_t5_chunk_names", "r14_rule_hits", "r18_r19_selected_
         "p4a_pronoun_antecedents", "c4_c12_c14_bernoulli_predictions", "c12_sentence_kinds", "r21_rule_coverage",
         "r21_unmatched_sentences", "e1_paired_models", "e3_class_scores_exact", "e4_class_scores_untyped",
         "e12_structural_equality", "e13_semantic_comparison", "e14_semantics_status", "e14_semantics_report",
-        "e15_assembly_report", "e16_graph_degrees", "e10_fragment_violations", "p6_split_dataset"]
+        "e15_assembly_report", "e16_graph_degrees", "e10_fragment_violations", "p6_split_dataset",
+        "p4_resolved_sentences"]
 
 
 @pytest.fixture(scope="module")
