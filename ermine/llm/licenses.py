@@ -12,7 +12,8 @@ a shuffle of texts; the templates are a fixed table.  Directories resolve first,
 ancestors with the licensed ones; files then join their directory, a stored table, so that adaptive execution
 splits a directory that holds a third of all files.
 
-Defined cases: very long texts are scanned whole, line by line, one at a time in a task; null text is empty and has no licence; null path is a file without a directory, which inherits
+Defined cases: very long texts are scanned whole, line by line, one at a time in a task;
+null text is empty and has no licence; null path is a file without a directory, which inherits
 nothing; repeated paths and rows are files of their own; ties of similarity go to the template first by name;
 an empty table gives an empty result; other columns are not read.
 """

@@ -14,7 +14,8 @@ move.  First places come from a min-aggregate that combines before the shuffle;
 back is on a stored table, so adaptive execution splits a line that a third of all documents hold.
 Nothing is collected per line or group; positions are gathered per document only.
 
-Defined cases: very long texts are taken whole, one at a time in a task; null text is the empty text; documents without lines come back unchanged; null
+Defined cases: very long texts are taken whole, one at a time in a task;
+null text is the empty text; documents without lines come back unchanged; null
 ids come after all others; repeated rows and ids are documents of their own, of which the first
 stays; lines repeated inside one document are runs like any other; an empty table gives an empty
 result; other columns are not read (``dedup`` hands them on).
