@@ -80,3 +80,20 @@ def test_pieces_grow_with_the_text(spark):
     few = text_pieces(_corpus(spark))
     big = spark.range(400).select("id", F.expr("repeat('a', 1 << 20)").alias("text"))
     assert few == spark.sparkContext.defaultParallelism and text_pieces(big) == max(few, 100)
+
+
+def test_role_bits_are_those_of_the_conditions(spark):
+    from ermine.operators.rules import _bits_of
+    asked = [(1, ("have", "be"), ()), (2, (), ("be",)), (4, (), ()), (8, ("name",), ("name",))]
+    rows = spark.createDataFrame([("have",), ("be",), ("name",), ("other",), (None,)], "lemma string")
+    got = {r[0]: r[1] for r in rows.select("lemma", _bits_of("lemma", asked)).collect()}
+    assert got == {"have": 7, "be": 5, "name": 6, "other": 6, None: 4}
+
+
+def test_stored_stages_take_methods_that_the_jvm_compiles(spark):
+    from ermine.session import compiled
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    with compiled(spark):
+        assert spark.conf.get(name) == "8000"
+    assert spark.conf.get(name) == before
