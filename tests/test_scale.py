@@ -8,6 +8,7 @@ from ermine.operators import annotate as A
 from ermine.operators import classify as C
 from ermine.operators import corpus as P
 from ermine.operators import extract as X
+from ermine.plans import fixtures as FX
 from ermine.session import cut_lineage_by, text_pieces
 
 TEXTS = [(1, "A school has departments. A driver uses a car."), (2, "A bird with a head.\nIt has it."), (3, None),
@@ -97,3 +98,28 @@ def test_stored_stages_take_methods_that_the_jvm_compiles(spark):
     with compiled(spark):
         assert spark.conf.get(name) == "8000"
     assert spark.conf.get(name) == before
+
+
+def test_tokens_are_stored_packed(spark):
+    toks = A.annotate(_corpus(spark), lexicon_df(spark, True), 3)
+    packed = cut_lineage_by(A.packed(toks), "doc_id", 3)
+    # most lemmas are the text in lower case, and stand there already
+    assert packed.filter("lemma = lower(text)").count() == 0 and packed.filter("lemma is null").count() > 0
+    assert all(f.endswith(".zstd.parquet") for f in packed.inputFiles())
+    back = A.unpacked(packed)
+    assert [(f.name, f.dataType) for f in back.schema] == [(f.name, f.dataType) for f in toks.schema]
+    assert back.exceptAll(toks).count() == 0 and toks.exceptAll(back).count() == 0
+    assert "Exchange hashpartitioning" not in _plan(P.rebuild_sentences(back))
+
+
+def test_a_task_annotates_two_megabytes_of_text(spark, tmp_path):
+    n = 2 * spark.sparkContext.defaultParallelism
+    df = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a"), 1 << 20).alias("text"), F.lit("s").alias("source"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert FX.doc_pieces(spark, str(tmp_path)) == n
+
+
+def test_results_are_dealt_out_without_the_names_of_roles(spark):
+    hits = X.all_hits(_stored(spark))
+    below = hits._jdf.queryExecution().optimizedPlan().toString().split("max_by(")[1].split("\n")[0]
+    assert "shown" in below and "names" not in below and hits.count() > 0
