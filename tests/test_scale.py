@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from ermine.functions.lexicon import lexicon_df
 from ermine.operators import annotate as A
+from ermine.operators import assemble as M
 from ermine.operators import classify as C
 from ermine.operators import corpus as P
 from ermine.operators import extract as X
 from ermine.plans import fixtures as FX
-from ermine.session import cut_lineage_by, text_pieces
+from ermine.session import cut_lineage, cut_lineage_by, text_pieces
 
 TEXTS = [(1, "A school has departments. A driver uses a car."), (2, "A bird with a head.\nIt has it."), (3, None),
          (2, "A net is part of the graph."), (None, "A wheel.")]
@@ -123,3 +124,34 @@ def test_results_are_dealt_out_without_the_names_of_roles(spark):
     hits = X.all_hits(_stored(spark))
     below = hits._jdf.queryExecution().optimizedPlan().toString().split("max_by(")[1].split("\n")[0]
     assert "shown" in below and "names" not in below and hits.count() > 0
+
+
+def _parts(spark, folder, copies=1):
+    """Tables of their own: the parts of two brands, one name twice, and orders that go through them."""
+    rows = [(k + 10 * c, f"tin cup {k % 5}", f"Brand#{1 + k % 2}", f"TYPE {k % 3}", k) for c in range(copies) for k in range(10)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int") \
+        .write.parquet(f"{folder}/part.parquet")
+    lines = [(o, (3 * o + 2 * n) % 10, 1, n, 1.0, "N") for o in range(6) for n in range(3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, "
+                                 "l_returnflag string").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_merged_relations_are_made_once(spark, tmp_path):
+    sf = _parts(spark, tmp_path)
+    model = FX.part_model(spark, sf)
+    for got, want in zip(model, M.assemble(*FX.part_fragments(spark, sf)), strict=True):
+        assert got.columns == want.columns and got.count() > 0
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+        assert not any("lineitem" in f for f in got.inputFiles())
+
+
+def test_only_the_tables_asked_for_are_stored(spark, tmp_path, monkeypatch):
+    sf, stored = _parts(spark, tmp_path), []
+    monkeypatch.setattr(FX, "cut_lineage", lambda df: (stored.append(df.columns), cut_lineage(df))[1])
+    (tc, ta), (pc, pa) = FX.sided_models(spark, sf, (0, 1)).values()
+    assert "class_name" in tc.columns and "attr_name" in ta.columns and pc.count() > tc.count() > 0 and pa.count() > 0
+    # three tables of fragments, merged classes and relations, and the two asked for
+    assert len(stored) == 7
+    FX.sided_models(spark, sf, (0, 2))
+    assert len(stored) == 8
