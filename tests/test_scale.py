@@ -155,3 +155,47 @@ def test_only_the_tables_asked_for_are_stored(spark, tmp_path, monkeypatch):
     assert len(stored) == 7
     FX.sided_models(spark, sf, (0, 2))
     assert len(stored) == 8
+
+
+def test_hits_stay_with_their_documents(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before, toks = spark.conf.get(name), _stored(spark)
+    want = X.all_hits(toks).collect()
+    spark.conf.set(name, "-1")      # as where neither side of a join is small
+    try:
+        hits = X.all_hits(toks, pieces=3)
+        assert "Exchange hashpartitioning" not in _plan(hits)
+        assert sorted(map(str, hits.collect())) == sorted(map(str, want)) != []
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_only_chunks_with_a_role_are_kept_for_names(spark):
+    from ermine.operators.rules import role_tokens, RULES_BY_ID
+    toks = _stored(spark).filter("doc_id = 1")
+    kept = role_tokens(toks, [RULES_BY_ID["R14"]])
+    assert 0 < kept.count() < toks.count() and kept.filter("text = 'school'").count() == 1
+    assert role_tokens(toks, [RULES_BY_ID["R17"]]).count() == 0
+
+
+def test_rules_store_no_tokens_of_their_own(spark, tmp_path):
+    _corpus(spark).withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    sf = str(tmp_path)
+    hits = FX.doc_hits(spark, sf)
+    assert ("tokens", id(spark), sf) not in FX._CACHE
+    assert sorted(map(str, hits.collect())) == sorted(map(str, X.all_hits(FX.doc_tokens(spark, sf)).collect())) != []
+
+
+def test_rare_terms_are_scored_as_frequent_ones(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(10) if (k * j) % 7 < 3), "xy"[k % 2]) for k in range(12)]
+                                 + [(90, "w1 none", "x"), (91, "", "y")], "doc_id long, text string, label string")
+    tf = C.term_counts(docs)
+    train = tf.join(docs.select("doc_id", "label"), "doc_id").filter("doc_id < 80")
+
+    def scores(pieces=None):
+        df = C.bernoulli_nb(train, tf, train_docs=docs.filter("doc_id < 80"), test_docs=docs, pieces=pieces)
+        return sorted((r.doc_id, r.label, round(r.score, 9)) for r in df.collect())
+    want = scores()
+    assert len(want) == 28
+    monkeypatch.setattr(C, "OFTEN", 6)      # three terms for each of two classes
+    assert scores() == want and scores(2) == want
