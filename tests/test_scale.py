@@ -8,6 +8,7 @@ from ermine.operators import annotate as A
 from ermine.operators import assemble as M
 from ermine.operators import classify as C
 from ermine.operators import corpus as P
+from ermine.operators import evaluate as E
 from ermine.operators import extract as X
 from ermine.plans import fixtures as FX
 from ermine.session import cut_lineage, cut_lineage_by, text_pieces
@@ -199,3 +200,13 @@ def test_rare_terms_are_scored_as_frequent_ones(spark, monkeypatch):
     assert len(want) == 28
     monkeypatch.setattr(C, "OFTEN", 6)      # three terms for each of two classes
     assert scores() == want and scores(2) == want
+
+
+def test_semantics_of_sentences_are_merged_without_a_broadcast(spark):
+    best = X.select_best(X.all_hits(_stored(spark)))
+    models = _corpus(spark).select("doc_id", F.lit("m").alias("model")).distinct()
+    best, kinds = cut_lineage(best), best.select("doc_id", "sent_id", "kind")   # its file is far below the broadcast limit
+    frags = X.fragments(best, models)
+    same = E.semantic_comparison(frags, frags, ["model", "seq"])
+    assert "BroadcastHashJoin" not in _plan(same) and same.filter("same").count() == best.filter("doc_id is not null").count() > 0
+    assert "BroadcastHashJoin" not in _plan(X.dispatch(best, cut_lineage(kinds)))
