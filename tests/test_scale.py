@@ -210,3 +210,11 @@ def test_semantics_of_sentences_are_merged_without_a_broadcast(spark):
     same = E.semantic_comparison(frags, frags, ["model", "seq"])
     assert "BroadcastHashJoin" not in _plan(same) and same.filter("same").count() == best.filter("doc_id is not null").count() > 0
     assert "BroadcastHashJoin" not in _plan(X.dispatch(best, cut_lineage(kinds)))
+
+
+def test_fragments_stay_with_their_documents(spark):
+    best = cut_lineage_by(X.select_best(X.all_hits(_stored(spark), pieces=3)).repartition(3, "doc_id"), "doc_id", 3)
+    models = cut_lineage_by(_corpus(spark).select("doc_id", F.lit("m").alias("model")).distinct().repartition(3, "doc_id"), "doc_id", 3)
+    for t in X.fragments(best, models):
+        p = _plan(t.select("*", "seq.doc_id", "seq.sent_id").groupBy("model", "doc_id", "sent_id").count())
+        assert "SortMergeJoin" in p and "Exchange hashpartitioning" not in p
